@@ -9,10 +9,12 @@ phrase, and equal windows lie at equal places of their anchors. So
    one exchange by anchor brings equal anchors together. Sorted by anchor, then by phrase,
    all but the first of equal phrases are repeats, window by window.
 2. Where an anchor stands in different phrases, windows may still be equal in part: at the
-   ends of copied runs. Only these windows are compared one by one, by two digits of W/2
-   tokens each.
+   ends of copied runs. With step > 1 these phrases are cut by the windows' distance to the
+   anchor into groups of `step` windows, which are records again: (hash of what all windows of the
+   group hold, hash of the whole group). Only groups that agree in the first and not in the second go on.
+3. The windows left are compared one by one, by two digits of W/2 tokens each.
 
-Records travel as numpy blobs. Before an exchange each task keeps only the first of
+Records travel as numpy blobs, byte planes apart, as ids and places then compress. Before an exchange each task keeps only the first of
 equal records, as the others are repeats whatever the other tasks hold; so a passage
 that a third of all documents share costs one record for each task. An anchor met in many
 phrases within one task is dealt out by phrase and always goes to step 2, which is exact
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,12 @@ from . import textcore as tc
 from .runtime import materialise, partitions, tune
 
 #: a, b: the two digits; doc, tx: document id and hash of its text; lo, n: first window and count.
-RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tx", "<i4"), ("lo", "<u4"), ("n", "<u4")])
+RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tx", "<i4"), ("lo", "<u4"), ("n", "<u2")])
 #: A phrase count for an anchor, within a task, from which its records are dealt out by phrase.
 CROWD = 8
 #: Records a task holds before it passes them on.
 FLUSH = 1_500_000
-MARK = 0xFFFFFFFF
+MARK = 0xFFFF
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,7 @@ class Units:
     window: int
     anchor: int
     strict: bool
+    step: int = 1
 
     def tokens(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "bytes":
@@ -58,8 +62,8 @@ class Units:
         return tc.word_hashes(raw, start, end), of
 
 
-def phrases(tok: np.ndarray, of: np.ndarray, unit: Units) -> dict[str, np.ndarray] | None:
-    """Runs of windows with one anchor: first window, count, hashes of the anchor and the phrase."""
+def phrases(tok: np.ndarray, of: np.ndarray, unit: Units, whole: bool = False) -> dict[str, np.ndarray] | None:
+    """Runs of windows with one anchor: first window, count, hashes of the anchor and the phrase (or, if whole, the anchor's place)."""
     n, w, k = len(tok), unit.window, unit.anchor
     if n < w:
         return None
@@ -76,6 +80,8 @@ def phrases(tok: np.ndarray, of: np.ndarray, unit: Units) -> dict[str, np.ndarra
     fresh = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1))))
     lo, hi = p[fresh], p[np.append(fresh[1:], len(p)) - 1]
     a = a[fresh]
+    if whole:
+        return {"lo": lo, "n": hi - lo + 1, "at": a}
     shape = ((a - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)
     return {"lo": lo, "n": hi - lo + 1, "a": gram[a], "b": tc.span(sums, lo, hi + w) ^ tc.mix(shape)}
 
@@ -98,12 +104,21 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kinds[i]) for i in range(len(names))], names)
 
 
+def _planes(r: np.ndarray) -> bytes:
+    return np.ascontiguousarray(r).view(np.uint8).reshape(len(r), RECORD.itemsize).T.tobytes()
+
+
+def _records(blobs: list[bytes]) -> np.ndarray:
+    parts = [np.frombuffer(b, np.uint8).reshape(RECORD.itemsize, -1).T for b in blobs]
+    return np.ascontiguousarray(np.concatenate(parts)).view(RECORD).ravel() if parts else np.zeros(0, RECORD)
+
+
 def _dealt(r: np.ndarray, part: np.ndarray, kind: int) -> list[tuple]:
     """(partition, kind, blob) rows of records, by partition."""
     order = np.argsort(part, kind="stable")
     r, part = r[order], part[order]
     cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(r) else []
-    return [(int(part[i]), kind, r[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(r)), strict=True)] if len(r) else []
+    return [(int(part[i]), kind, _planes(r[i:j])) for i, j in zip(cut, np.append(cut[1:], len(r)), strict=True)] if len(r) else []
 
 
 def _send(r: np.ndarray, n_parts: int, unit: Units, crowd: bool) -> Iterator[pa.RecordBatch]:
@@ -171,6 +186,100 @@ def _windows(tok: np.ndarray, of: np.ndarray, unit: Units, listed: pa.Array) ->
     return {"lo": p, "n": np.ones(len(p), np.int64), "a": tc.span(sums, p, p + half), "b": tc.span(sums, p + half, p + unit.window)}
 
 
+SNIPPET = "doc_id long, tx int, at long, snippet binary"
+
+
+def _snippets(unit: Units):
+    """Task over (doc_id, tx, text, open): the stretches of text that the open phrases and their groups span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for batch in batches:
+            rows = []
+            for doc, tx, text, blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = text.encode()
+                x = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
+                x = x[np.argsort(x[:, 0], kind="stable")]
+                lo = np.maximum(x[:, 0] - unit.step + 1, 0)
+                hi = np.minimum(np.maximum.accumulate(x.sum(axis=1)) + unit.window + unit.step - 2, len(raw))
+                new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                rows += [(doc, tx, int(lo[i]), raw[lo[i] : hi[j - 1]]) for i, j in zip(new, np.append(new[1:], len(x)), strict=True)]
+            yield _batch(rows, ["doc_id", "tx", "at", "snippet"], kinds)
+
+    return run
+
+
+def _joined(columns: list) -> tuple[np.ndarray, np.ndarray]:
+    data = columns.to_pylist()
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+def _grouped(unit: Units, n_parts: int):
+    """Task over snippets: the groups of `step` windows at equal distances from their anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        w, step = unit.window, unit.step
+        for batch in batches:
+            raw, of = _joined(batch.column(3))
+            tok = tc.BYTE_VALUES[raw]
+            part = phrases(tok, of, unit, True)
+            if part is None:
+                continue
+            lo, anchor = part["lo"], part["at"]
+            hi = lo + part["n"] - 1
+            first, last = (anchor - hi) // step, (anchor - lo) // step
+            many = last - first + 1
+            k = np.repeat(np.arange(len(lo)), many)
+            j = first[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
+            piece = np.searchsorted(of, lo[k], "right") - 1
+            near, far = anchor[k] - step * j, anchor[k] - step * j - step + 1  # the window nearest to the anchor, the farthest
+            start, end = np.maximum(far, of[piece]), np.minimum(near + w, of[piece + 1])
+            sums = tc.prefix(tok)
+            r = np.empty(len(k), RECORD)
+            # the distance tells apart groups of two anchors that span the same text
+            r["a"] = tc.span(sums, near, far + w) ^ tc.mix(j.astype(np.uint64) + np.uint64(1))
+            r["b"] = tc.span(sums, start, end) ^ tc.mix((start - far).astype(np.uint64) * np.uint64(1 << 40) + j.astype(np.uint64) * np.uint64(1 << 20) + (near + w - end).astype(np.uint64) + np.uint64(1))
+            from_, to = np.maximum(far, lo[k]), np.minimum(near, hi[k])
+            r["lo"], r["n"] = from_ - of[piece] + batch.column(2).to_numpy()[piece], to - from_ + 1
+            r["doc"], r["tx"] = batch.column(0).to_numpy()[piece], batch.column(1).to_numpy()[piece]
+            held.append(r)
+            if sum(map(len, held)) >= FLUSH:
+                yield from _send(np.concatenate(held), n_parts, unit, True)
+                held = []
+        if held:
+            yield from _send(np.concatenate(held), n_parts, unit, True)
+
+    return run
+
+
+def _single(unit: Units, n_parts: int):
+    """Task over (doc_id, tx, at, snippet, open): the open windows one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            raw, of = _joined(batch.column(3))
+            listed, size = [], np.diff(of)
+            at = batch.column(2).to_numpy()
+            for i, blobs in enumerate(batch.column(4).to_pylist()):
+                x = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
+                x = x[(x[:, 0] >= at[i]) & (x[:, 0] + x[:, 1] - 1 + unit.window <= at[i] + size[i])] - [at[i], 0]
+                listed.append([x.astype("<u4").tobytes()])
+            part = _windows(tc.BYTE_VALUES[raw], of, unit, pa.array(listed, pa.list_(pa.binary())))
+            if part is None:
+                continue
+            piece = np.searchsorted(of, part["lo"], "right") - 1
+            r = np.empty(len(piece), RECORD)
+            r["a"], r["b"], r["n"] = part["a"], part["b"], part["n"]
+            r["doc"], r["tx"], r["lo"] = batch.column(0).to_numpy()[piece], batch.column(1).to_numpy()[piece], part["lo"] - of[piece] + at[piece]
+            held.append(r)
+        if held:
+            yield from _send(np.concatenate(held), n_parts, unit, False)
+
+    return run
+
+
 def _listed(r: np.ndarray) -> np.ndarray:
     """Records as (lo, n) pairs, neighbours joined."""
     lo, n = r["lo"].astype(np.int64), r["n"].astype(np.int64)
@@ -203,7 +312,7 @@ def _gather(unit: Units, last: bool) -> Callable:
         for batch in batches:
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 held[kind].append(blob)
-        records = {k: np.frombuffer(b"".join(v), RECORD) for k, v in held.items()}
+        records = {k: _records(v) for k, v in held.items()}
         held.clear()
         done, open_ = [records[1]], []
         for kind in (0, 2):
@@ -237,10 +346,19 @@ def repeated_windows(docs: DataFrame, unit: Units) -> DataFrame:
     one = docs.mapInArrow(_spread(unit, n, False), rows)
     one = materialise(one.repartitionById(n, "part").mapInArrow(_gather(unit, False), found))
     left = one.where("open is not null").groupBy("doc_id", "tx").agg(F.collect_list("open").alias("open"))
-    two = docs.join(left, ["doc_id", "tx"]).select("doc_id", "tx", "text", "open").mapInArrow(_spread(unit, n, True), rows)
-    two = two.repartitionById(n, "part").mapInArrow(_gather(unit, True), found)
-    found_all = one.where("done is not null").select("doc_id", "tx", "done").unionByName(two.select("doc_id", "tx", "done"))
-    return found_all.groupBy("doc_id", "tx").agg(F.collect_list("done").alias("done"))
+    opened = docs.join(left, ["doc_id", "tx"]).select("doc_id", "tx", "text", "open")
+    levels = [one]
+    if unit.step > 1:
+        snippets = materialise(opened.mapInArrow(_snippets(unit), SNIPPET))
+        two = materialise(snippets.mapInArrow(_grouped(unit, n), rows).repartitionById(n, "part").mapInArrow(_gather(unit, False), found))
+        left = two.where("open is not null").groupBy("doc_id", "tx").agg(F.collect_list("open").alias("open"))
+        levels.append(two)
+        singles = snippets.join(left, ["doc_id", "tx"]).select("doc_id", "tx", "at", "snippet", "open").mapInArrow(_single(unit, n), rows)
+    else:
+        singles = opened.mapInArrow(_spread(unit, n, True), rows)
+    levels.append(singles.repartitionById(n, "part").mapInArrow(_gather(unit, True), found))
+    done = [x.where("done is not null").select("doc_id", "tx", "done") for x in levels]
+    return reduce(DataFrame.unionByName, done).groupBy("doc_id", "tx").agg(F.collect_list("done").alias("done"))
 
 
 def removed_mask(lists: list[bytes] | None, n: int, window: int) -> np.ndarray:

@@ -3,8 +3,8 @@
 The order of suffixes matters only as far as the threshold, so a suffix is its first 100
 bytes, sorted digit by digit; equal groups at full depth are the repeated strings. The
 first digit is the string's anchor, the second the whole of its phrase (many strings at
-once); groups of one drop out after each pass, and what is left open is sorted singly by
-two digits of 50 bytes. See repeats.py for why this finds exactly the repeated strings.
+once); groups of one drop out after each pass. What is left open is sorted in groups of 8
+strings, then singly by two digits of 50 bytes. See repeats.py for why this finds exactly the repeated strings.
 """
 
 from __future__ import annotations
@@ -22,4 +22,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     0 bytes. Null id: kept whole, no source. Same id and text twice: one document, so
     neither removes the other. Shorter texts and empty tables pass through.
     """
-    return remove_repeats(docs, Units("bytes", min_bytes, max(1, min(32, min_bytes // 3)), False), id_col, text_col, keep_text)
+    return remove_repeats(docs, Units("bytes", min_bytes, max(1, min(32, min_bytes // 3)), False, 8), id_col, text_col, keep_text)
