@@ -7,11 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselode.llm.decontaminate import drop_leaks
 from tesselode.llm.minhash_dedup import drop_near_duplicates
 from tesselode.llm.packing import pack
 from tesselode.llm.queries import tokenizer_path
 from tesselode.llm.rlz_dedup import rlz_dedup
 from tesselode.llm.runtime import shared_dir
+from tesselode.llm.toxicity import THRESHOLD, fit, score
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that score below the threshold; learns from every label that a document of the stage has."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score(docs.withColumnsRenamed({"score": "__score"}), model)
+    return scored.where(F.col("score") < THRESHOLD).drop("score").withColumnsRenamed({"__score": "score"}).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +38,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(docs.columns)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that leak a benchmark item."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
 
 #: Similarity search, tries at a likelihood and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

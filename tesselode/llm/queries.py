@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .kd_shards import kd_shards
 from .minhash_dedup import near_duplicates
 from .order_minhash import order_minhash
 from .packing import pack
 from .rlz_dedup import rlz_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
+from .toxicity import THRESHOLD, fit, score
 from .warc import round_trip
 
 
@@ -28,11 +31,26 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+    out = score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rlz_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "kept_sha256")
@@ -54,5 +72,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_suffix_dedup, op5_rlz_dedup, op6_order_minhash, op7_warc, op8_kd_shards, op9_packing)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_suffix_dedup, op4_toxicity, op5_rlz_dedup, op6_order_minhash, op7_warc, op8_kd_shards, op9_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
