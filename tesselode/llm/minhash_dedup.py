@@ -31,8 +31,10 @@ from .runtime import materialise, tune
 WORDS, THRESHOLD = 5, (75, 100)
 #: Base and rate of the registers, registers in all, registers of a band: 32 bands of 4 miss a pair of similarity 0.75 once in 200,000.
 BASE, RATE, REGISTERS, ROWS = 1.001, 20.0, 128, 4
-#: A pair stays unless the likelihood at the threshold is this many nats below its maximum.
-NATS = 12.0
+#: A pair stays unless the likelihood at the threshold is this many nats below its maximum (four standard errors).
+NATS = 8.0
+#: Partners a member proposes in the first comparison, the most alike; the second proposes all that are plausible.
+BEST = 4
 #: Members a comparison block aims at, and members that share a copy of their centre's set.
 BLOCK, STAR = 512, 128
 
@@ -160,8 +162,11 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tup
         yield held
 
 
-def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a block pair (key, i, j), plausible pairs of members of different components: (a, b)."""
+def _compare_rows(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
+    """Within a block pair (key, i, j), plausible pairs of members of different components: (a, b).
+
+    best: only so many for each member, those with the most equal registers.
+    """
     out: list[tuple] = []
     for rows in _groups(batches, 3):
         i, j = rows[0][1:3]
@@ -176,7 +181,11 @@ def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             o = np.flatnonzero(other)
             if len(o):
                 x = regs[o]
-                o = o[plausible(n[o], np.full(len(o), n[r]), (x > regs[r]).sum(axis=1), (x < regs[r]).sum(axis=1))]
+                above, below = (x > regs[r]).sum(axis=1), (x < regs[r]).sum(axis=1)
+                fit = plausible(n[o], np.full(len(o), n[r]), above, below)
+                o, apart = o[fit], (above + below)[fit]
+                if best is not None:
+                    o = o[np.argsort(apart, kind="stable")[:best]]
                 out += [(int(ids[r]), int(ids[q])) for q in o]
         if len(out) > 5000:
             yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
@@ -217,6 +226,19 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify_rows, "a long, b long")
 
 
+def _proposed(live: DataFrame, sets: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
+    """Plausible pairs (a, b) of different components within buckets of more than two, compared in blocks."""
+    joined = live.where("m > 2").join(comps, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("comp"))
+    buckets = joined.groupBy("key", "m").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig")).where("p <> q")
+    open_keys = buckets.groupBy("sig", "m").agg(F.min("key").alias("key")).select("key")
+    members = joined.join(open_keys, "key").join(sets.dropDuplicates(["id", "sketch"]).select("id", "n", "sketch"), "id")
+    members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    members = members.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "comp", "n", "sketch")
+    rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(lambda batches: _compare_rows(batches, best), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -239,22 +261,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(_verify(_estimate(tried, sets), sets))
     first = components(links)
 
-    joined = live.where("m > 2").join(first, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("comp"))
-    buckets = joined.groupBy("key", "m").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig")).where("p <> q")
-    open_keys = buckets.groupBy("sig", "m").agg(F.min("key").alias("key")).select("key")
-    members = joined.join(open_keys, "key").join(sets.dropDuplicates(["id", "sketch"]).select("id", "n", "sketch"), "id")
-    members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "comp", "n", "sketch")
-    pairs = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare_rows, "a long, b long")
-    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = materialise(pairs.distinct().join(done, ["a", "b"], "left_anti"))
-    more = _verify(pairs, sets)
-    more = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
-    second = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
+    tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for best in (BEST, None):
+        pairs = materialise(_proposed(live, sets, first, best).join(tried, ["a", "b"], "left_anti"))
+        more = _verify(pairs, sets)
+        more = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
+        second = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
+        # nodes of the components that moved, and those least nodes that had no row of their own
+        moved = first.join(second.toDF("component", "c2"), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
+        first = materialise(moved.unionByName(second.join(first.select("id"), "id", "left_anti")))
+        tried = tried.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     groups = nodes.select("n", "s1", "s2", "id").join(first.toDF("id", "c1"), "id", "left").withColumn("c1", F.coalesce("c1", "id"))
-    groups = groups.join(second.toDF("c1", "c2"), "c1", "left").select("n", "s1", "s2", F.coalesce("c2", "c1").alias("component_id"))
+    groups = groups.select("n", "s1", "s2", F.col("c1").alias("component_id"))
     out = rows.join(groups, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
