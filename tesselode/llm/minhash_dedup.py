@@ -9,7 +9,8 @@ similarity; what may reach the threshold is verified on the full sets.
 
 Copies with equal sets are one node. A band's bucket first tries its members against the least of them;
 buckets that still hold several components then compare members of different components, register by
-register, in blocks; only plausible pairs leave a block. So a bucket of thousands of
+register, in blocks: first each member proposes its likeliest partners, then every plausible pair
+is tested inside the block and only links leave it. So a bucket of thousands of
 near copies never becomes all its pairs, and no pair that shares a band is left untested.
 """
 
@@ -33,7 +34,7 @@ WORDS, THRESHOLD = 5, (75, 100)
 BASE, RATE, REGISTERS, ROWS = 1.001, 20.0, 128, 4
 #: A pair stays unless the likelihood at the threshold is this many nats below its maximum (four standard errors).
 NATS = 8.0
-#: Partners a member proposes in the first comparison, the most alike; the second proposes all that are plausible.
+#: Partners a member proposes in the first comparison, the most alike; the second tests all that are plausible in place.
 BEST = 4
 #: Members a comparison block aims at, and members that share a copy of their centre's set.
 BLOCK, STAR = 512, 128
@@ -163,9 +164,11 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tup
 
 
 def _compare_rows(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
-    """Within a block pair (key, i, j), plausible pairs of members of different components: (a, b).
+    """Within a block pair (key, i, j), pairs (a, b) of members of different components.
 
-    best: only so many for each member, those with the most equal registers.
+    With best, only so many plausible ones for each member, those with the most equal registers. Without, every
+    plausible pair is verified here on the full sets that the rows then carry, likeliest first, and one
+    link for each two components leaves: never more links than components.
     """
     out: list[tuple] = []
     for rows in _groups(batches, 3):
@@ -179,14 +182,20 @@ def _compare_rows(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterat
         for k, r in enumerate(rest):
             other = (comps != comps[r]) & ((place < 0) | (place > k)) & ((side != side[r]) | (i == j))
             o = np.flatnonzero(other)
-            if len(o):
-                x = regs[o]
-                above, below = (x > regs[r]).sum(axis=1), (x < regs[r]).sum(axis=1)
-                fit = plausible(n[o], np.full(len(o), n[r]), above, below)
-                o, apart = o[fit], (above + below)[fit]
-                if best is not None:
-                    o = o[np.argsort(apart, kind="stable")[:best]]
-                out += [(int(ids[r]), int(ids[q])) for q in o]
+            if not len(o):
+                continue
+            x = regs[o]
+            above, below = (x > regs[r]).sum(axis=1), (x < regs[r]).sum(axis=1)
+            fit = plausible(n[o], np.full(len(o), n[r]), above, below)
+            o = o[fit][np.argsort((above + below)[fit], kind="stable")]
+            if best is not None:
+                out += [(int(ids[r]), int(ids[q])) for q in o[:best]]
+                continue
+            own = np.frombuffer(rows[r][8], np.uint64)
+            for q in o:
+                if comps[q] != comps[r] and linked(own, np.frombuffer(rows[q][8], np.uint64)):
+                    out.append((int(ids[r]), int(ids[q])))
+                    comps[comps == comps[r]] = comps[q]
         if len(out) > 5000:
             yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
             out = []
@@ -227,14 +236,15 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _proposed(live: DataFrame, sets: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
-    """Plausible pairs (a, b) of different components within buckets of more than two, compared in blocks."""
+    """Pairs (a, b) of different components within buckets of more than two, compared in blocks: see _compare_rows."""
+    columns = ["id", "n", "sketch"] + ["grams"] * (best is None)
     joined = live.where("m > 2").join(comps, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("comp"))
     buckets = joined.groupBy("key", "m").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig")).where("p <> q")
     open_keys = buckets.groupBy("sig", "m").agg(F.min("key").alias("key")).select("key")
-    members = joined.join(open_keys, "key").join(sets.dropDuplicates(["id", "sketch"]).select("id", "n", "sketch"), "id")
+    members = joined.join(open_keys, "key").join(sets.dropDuplicates(["id", "sketch"]).select(columns), "id")
     members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "comp", "n", "sketch")
+    members = members.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "comp", *columns[1:])
     rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(lambda batches: _compare_rows(batches, best), "a long, b long").distinct()
 
@@ -263,14 +273,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for best in (BEST, None):
-        pairs = materialise(_proposed(live, sets, first, best).join(tried, ["a", "b"], "left_anti"))
-        more = _verify(pairs, sets)
+        more = _proposed(live, sets, first, best)
+        if best is not None:
+            more = _verify(materialise(more.join(tried, ["a", "b"], "left_anti")), sets)
         more = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
         second = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
         # nodes of the components that moved, and those least nodes that had no row of their own
         moved = first.join(second.toDF("component", "c2"), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
         first = materialise(moved.unionByName(second.join(first.select("id"), "id", "left_anti")))
-        tried = tried.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     groups = nodes.select("n", "s1", "s2", "id").join(first.toDF("id", "c1"), "id", "left").withColumn("c1", F.coalesce("c1", "id"))
     groups = groups.select("n", "s1", "s2", F.col("c1").alias("component_id"))
