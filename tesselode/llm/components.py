@@ -29,7 +29,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of links(a, b) but the least of each component."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(MAX_ROUNDS):
         edges = materialise(_stars(_stars(edges, True), False))

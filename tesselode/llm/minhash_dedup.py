@@ -273,9 +273,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for best in (BEST, None):
-        more = _proposed(live, sets, first, best)
+        more = materialise(_proposed(live, sets, first, best))
         if best is not None:
-            more = _verify(materialise(more.join(tried, ["a", "b"], "left_anti")), sets)
+            more = materialise(_verify(materialise(more.join(tried, ["a", "b"], "left_anti")), sets))
         more = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
         second = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
         # nodes of the components that moved, and those least nodes that had no row of their own
