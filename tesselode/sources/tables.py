@@ -14,10 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that an iteration starts from files."""
-    folder = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
-    path = f"{folder}/step-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
