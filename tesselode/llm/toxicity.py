@@ -1,17 +1,18 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and their beginnings of 4 to 8 bytes. A bounded sample of labelled documents fits the
-vocabulary (terms that mark toxic examples, by the lower bound of their precision) and the
-examples; document frequencies are counted over all documents. Examples with equal vectors are one, with
-its count of labels. A search visits blocks of examples by falling bound and stops where no block can
-hold a nearer one, so the nearest are exact. They vote with weights 1 / (distance + 0.05); the
-base rate joins the vote, which keeps scores calibrated where evidence is thin.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms.
+
+Terms are words and their beginnings of 4 to 8 bytes. A bounded sample of labelled documents gives the
+vocabulary, all of its terms, and the examples; document frequencies are counted over all documents. Terms that mark
+toxic examples, by the lower bound of their precision, weigh MARK times as much; no term is left out.
+Examples with equal vectors are one, with its count of labels. A search adds up the cosine to every example, common
+terms by a dense product and the others by their postings, so the nearest are exact. They vote with weights
+1 / (distance + 0.05); the base rate joins the vote, which keeps scores calibrated where evidence is thin.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from .runtime import materialise, tune
 from .terms import Vocabulary, lowered, term_bounds
 
 PREFIXES = (4, 5, 6, 7, 8)
-#: Labelled documents that are fitted on, the most terms, examples a block holds, neighbours, weight of the base rate.
-FIT_ROWS, MAX_TERMS, BLOCK, NEIGHBOURS, PRIOR = 16384, 2048, 64, 15, 2.0
-#: A term needs this many toxic examples, and a lower bound of its precision this many times the base rate; Z is high, as very many terms are tried.
-LEAST_TOXIC, LIFT, Z = 4, 3.0, 3.3
+#: Labelled documents that are fitted on, neighbours, weight of the base rate.
+FIT_ROWS, NEIGHBOURS, PRIOR = 16384, 15, 2.0
+#: To weigh MARK times as much a term needs this many toxic examples, and a lower bound of its precision this many times the base rate; Z is high, as very many terms are tried.
+LEAST_TOXIC, LIFT, Z, MARK = 4, 3.0, 3.3, 4.0
+#: Terms in one of COMMON examples have a dense row, at most DENSE of them; documents a dense product takes.
+COMMON, DENSE, TOGETHER = 12, 1024, 64
 THRESHOLD = 0.3
 
 
@@ -46,41 +49,50 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(terms)
 
 
-def _counts(known: np.ndarray | None):
-    """Task over (text, toxic): per term the documents that hold it, and the toxic ones; of known terms only, if given."""
+def _counts(known):
+    """Task over (text, toxic): per term the documents that hold it, and the toxic ones; of the broadcast terms only, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = None if known is None else Vocabulary(known)
-        sums: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-        def add(terms: np.ndarray, n: np.ndarray, t: np.ndarray) -> None:
-            nonlocal sums
-            h, back = np.unique(np.concatenate((sums[0], terms)), return_inverse=True)
-            sums = (h, np.bincount(back, np.concatenate((sums[1], n)), len(h)).astype(np.int64), np.bincount(back, np.concatenate((sums[2], t)), len(h)).astype(np.int64))
-
+        vocabulary = None if known is None else Vocabulary(known.value)
+        size = 0 if vocabulary is None else len(vocabulary.hashes)
+        h, n, t = (np.zeros(0, np.uint64) if vocabulary is None else vocabulary.hashes), np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
             for first, last, raw, at in tc.slices(lowered(batch.column(0))):
                 doc, term = features(raw, at)
-                if vocabulary is not None:
-                    i, k = vocabulary.find(term)
-                    pair = np.unique(doc[i] * len(vocabulary.hashes) + k)
-                    doc, term = pair // max(1, len(vocabulary.hashes)), vocabulary.hashes[pair % max(1, len(vocabulary.hashes))]
+                if vocabulary is None:
+                    own, k = np.unique(term, return_inverse=True)
                 else:
-                    order = np.lexsort((doc, term))
-                    doc, term = doc[order], term[order]
-                    new = np.concatenate(([True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))) if len(term) else np.zeros(0, bool)
-                    doc, term = doc[new], term[new]
-                add(term, np.ones(len(term), np.int64), toxic[first:last][doc].astype(np.int64))
-        h, n, t = sums
+                    i, k = vocabulary.find(term)
+                    doc, own = doc[i], h
+                if not len(k):
+                    continue
+                pair = np.unique(doc * len(own) + k)
+                doc, k = pair // len(own), pair % len(own)
+                some, hits = np.bincount(k, minlength=len(own)), np.bincount(k[toxic[first:last][doc] > 0], minlength=len(own))
+                if vocabulary is not None:
+                    n += some
+                    t += hits
+                    continue
+                h, back = np.unique(np.concatenate((h, own)), return_inverse=True)
+                n = np.bincount(back, np.concatenate((n, some)), len(h)).astype(np.int64)
+                t = np.bincount(back, np.concatenate((t, hits)), len(h)).astype(np.int64)
+        seen = np.flatnonzero(n)
+        h, n, t = h[seen], n[seen], t[seen]
         for i in range(0, len(h), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000].astype(np.int64)), pa.array(n[i : i + 50_000]), pa.array(t[i : i + 50_000])], ["term", "n", "t"])
 
     return run
 
 
-def _sum_counts(docs: DataFrame, known: np.ndarray | None) -> DataFrame:
-    return docs.mapInArrow(_counts(known), "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+def _sum_counts(docs: DataFrame, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms in order, the documents that hold them, and the toxic ones."""
+    shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+    sums = docs.mapInArrow(_counts(shared), "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    term, n, t = (sums.column(c).to_numpy() for c in ("term", "n", "t"))
+    term = term.astype(np.int64).astype(np.uint64)
+    order = np.argsort(term)
+    return term[order], n[order], t[order]
 
 
 @dataclass
@@ -92,47 +104,103 @@ class Vectors:
     weight: np.ndarray
 
 
-def vectors(raw: np.ndarray, at: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray) -> Vectors:
+def counted(raw: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term number, count) of a slice, sorted by document, then by term."""
     doc, term = features(raw, at)
     i, k = vocabulary.find(term)
-    pair, tf = np.unique(doc[i] * max(1, len(idf)) + k, return_counts=True)
-    doc, k = pair // max(1, len(idf)), pair % max(1, len(idf))
+    size = max(1, len(vocabulary.hashes))
+    pair, tf = np.unique(doc[i] * size + k, return_counts=True)
+    return pair // size, pair % size, tf
+
+
+def vectors(raw: np.ndarray, at: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray) -> Vectors:
+    doc, k, tf = counted(raw, at, vocabulary)
     w = (1 + np.log(tf)) * idf[k] if len(k) else np.zeros(0)
     norm = np.sqrt(np.bincount(doc, w * w, len(at) - 1)) if len(k) else np.ones(len(at) - 1)
     return Vectors(doc, k, w / norm[doc] if len(k) else w)
 
 
+@dataclass
+class Matrix:
+    """Weights[term, example] as postings: those of term t are at[t] to at[t + 1]."""
+
+    shape: tuple[int, int]
+    at: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+
+    def __getitem__(self, terms: np.ndarray) -> np.ndarray:
+        """Dense rows."""
+        out = np.zeros((len(terms), self.shape[1]), np.float32)
+        for row, t in zip(out, terms, strict=True):
+            row[self.example[self.at[t] : self.at[t + 1]]] = self.weight[self.at[t] : self.at[t + 1]]
+        return out
+
+    def dot(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The sum of these rows, times their weights."""
+        n = self.at[terms + 1] - self.at[terms]
+        i = np.repeat(self.at[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.example[i], self.weight[i] * np.repeat(weight, n), self.shape[1])
+
+
 @dataclass
 class Model:
-    """The fitted index. terms: hashes; idf by term number; bounds[term, block]: the largest weight there."""
+    """The fitted index. terms: hashes; idf by term number, times MARK where a term marks toxic examples; postings as
+    example and count of the term there, those of term t from at[t] on; each example's labels, and toxic ones."""
 
     terms: np.ndarray
     idf: np.ndarray
-    matrix: np.ndarray
-    bounds: np.ndarray
+    at: np.ndarray
+    example: np.ndarray
+    tf: np.ndarray
     count: np.ndarray
     toxic: np.ndarray
     rate: float
     blank: float
 
+    @cached_property
+    def matrix(self) -> Matrix:
+        weight = (1 + np.log(np.arange(1, int(self.tf.max(initial=1)) + 1)))[self.tf.astype(np.int64) - 1] * np.repeat(self.idf, np.diff(self.at))
+        norm = np.sqrt(np.bincount(self.example, weight * weight, len(self.count)))
+        return Matrix((len(self.terms), len(self.count)), self.at, self.example.astype(np.int32), (weight / norm[self.example]).astype(np.float32))
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each common term, -1 for others, and the rows."""
+        n = np.diff(self.at)
+        common = np.flatnonzero(n * COMMON >= len(self.count)) if len(self.count) else np.zeros(0, np.int64)
+        common = common[np.argsort(-n[common], kind="stable")[:DENSE]]
+        row = np.full(len(n), -1, np.int32)
+        row[common] = np.arange(len(common))
+        return row, self.matrix[common]
+
+    def cosines(self, v: Vectors, docs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(document, cosine to every example) for those of v."""
+        row, rows = self.dense
+        cut = np.searchsorted(v.doc, docs), np.searchsorted(v.doc, docs, "right")
+        for c in range(0, len(docs), TOGETHER):
+            lo, hi = cut[0][c : c + TOGETHER], cut[1][c : c + TOGETHER]
+            own = np.concatenate([np.arange(i, j) for i, j in zip(lo, hi, strict=True)])
+            own = own[row[v.term[own]] >= 0]
+            query = np.zeros((len(lo), len(rows)), np.float32)
+            query[np.searchsorted(docs, v.doc[own]) - c, row[v.term[own]]] = v.weight[own]
+            for d, i, j, cos in zip(docs[c : c + TOGETHER], lo, hi, query @ rows, strict=True):
+                rare = np.flatnonzero(row[v.term[i:j]] < 0) + i
+                yield int(d), cos + self.matrix.dot(v.term[rare], v.weight[rare].astype(np.float32))
+
+    def top(self, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples of all cosines; ties, to six digits, by number."""
+        least = np.partition(cos, -NEIGHBOURS)[-NEIGHBOURS] - 2e-6 if len(cos) > NEIGHBOURS else 0
+        ids = np.flatnonzero((cos > 0) & (cos >= least))
+        ids = ids[np.lexsort((ids, -np.round(cos[ids], 6)))[:NEIGHBOURS]]
+        return ids, cos[ids]
+
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The examples nearest to a unit vector, and their cosines; exact, ties by number."""
-        bound = weight @ self.bounds[term]
-        order = np.argsort(-bound, kind="stable")
-        ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or (len(best) == NEIGHBOURS and bound[b] < best[-1] - 1e-6):
-                break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, self.matrix.shape[1])
-            cos = weight @ self.matrix[term, lo:hi]
-            keep = np.flatnonzero(cos > 0)
-            ids, best = np.concatenate((ids, keep + lo)), np.concatenate((best, cos[keep]))
-            top = np.lexsort((ids, -best))[:NEIGHBOURS]
-            ids, best = ids[top], best[top]
-        return ids, best
-
-    def score(self, term: np.ndarray, weight: np.ndarray) -> float:
-        ids, cos = self.nearest(term, weight)
+        v = Vectors(np.zeros(len(term), np.int64), np.asarray(term), np.asarray(weight))
+        return self.top(next(self.cosines(v, np.zeros(1, np.int64)))[1])
+
+    def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
         if not len(ids):
             return self.blank
         vote = 1 / (1 - np.minimum(cos, 1) + 0.05)
@@ -142,15 +210,15 @@ class Model:
         return float((np.sum(vote * share) + PRIOR * self.rate) / (np.sum(vote) + PRIOR))
 
 
-def _example_rows(terms: np.ndarray, idf: np.ndarray):
+def _example_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(terms)
+        vocabulary = Vocabulary(shared.value)
         for batch in batches:
             toxic = batch.column(1).to_pylist()
             for first, last, raw, at in tc.slices(lowered(batch.column(0))):
-                v = vectors(raw, at, vocabulary, idf)
-                cut = np.searchsorted(v.doc, np.arange(last - first + 1))
-                yield _batch([(v.term[i:j].astype("<i4").tobytes(), np.round(v.weight[i:j], 6).astype("<f4").tobytes(), int(toxic[first + d])) for d, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))], ["term", "weight", "toxic"], [pa.binary(), pa.binary(), pa.int64()])
+                doc, k, tf = counted(raw, at, vocabulary)
+                cut = np.searchsorted(doc, np.arange(last - first + 1))
+                yield _batch([(k[i:j].astype("<i4").tobytes(), tf[i:j].astype("<u4").tobytes(), int(toxic[first + d])) for d, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))], ["term", "tf", "toxic"], [pa.binary(), pa.binary(), pa.int64()])
 
     return run
 
@@ -158,8 +226,8 @@ def _example_rows(terms: np.ndarray, idf: np.ndarray):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """A model from labels(doc_id, toxic) of docs; at most fit_rows labelled documents, chosen by a hash of the id.
 
-    Null labels and ids are left out; of several labels of an id the largest counts. Without labels, or without a
-    term that marks toxic texts, every score is the smoothed base rate.
+    Null labels and ids are left out; of several labels of an id the largest counts. Without labels every score is
+    the smoothed base rate.
     """
     tune(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -168,31 +236,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = materialise(own.join(some, F.col("__id") == F.col("__l")).select("text", "toxic"))
     rows, hits = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = (hits + 0.5) / (rows + 1)
-    # terms in toxic examples, at most fit_rows documents of them, then their counts in all examples
-    seen = _sum_counts(sample.where("toxic = 1"), None).where(F.col("n") >= LEAST_TOXIC)
-    some_terms = np.array([r["term"] for r in seen.orderBy(F.desc("n"), "term").limit(1 << 18).collect()], np.int64).astype(np.uint64)
-    table = _sum_counts(sample, some_terms).where(F.col("t") >= LEAST_TOXIC)
-    p, z = F.col("t") / F.col("n"), F.lit(Z)
-    lower = (p + z * z / (2 * F.col("n")) - z * F.sqrt((p * (1 - p) + z * z / (4 * F.col("n"))) / F.col("n"))) / (1 + z * z / F.col("n"))
-    chosen = table.where(lower >= min(LIFT * rate, 0.6)).orderBy(F.desc(lower), F.desc("t"), "term").limit(MAX_TERMS)
-    terms = np.sort(np.array([r["term"] for r in chosen.select("term").collect()], np.int64).astype(np.uint64))
-    total = own.count()
-    df = {r["term"]: r["n"] for r in _sum_counts(own.select("text", F.lit(0).alias("toxic")), terms).collect()} if len(terms) else {}
-    idf = np.array([np.log((1 + total) / (1 + df.get(int(np.int64(t.astype(np.int64))), 0))) + 1 for t in terms])
-    groups = sample.mapInArrow(_example_rows(terms, idf), "term binary, weight binary, toxic long").groupBy("term", "weight").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    examples = sorted((r["term"], r["weight"], r["n"], r["t"]) for r in groups.collect())
+    terms, n, t = _sum_counts(sample, None)
+    p = t / np.maximum(n, 1)
+    lower = (p + Z * Z / (2 * n) - Z * np.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
+    marking = (t >= LEAST_TOXIC) & (lower >= min(LIFT * rate, 0.6))
+    # every term of the examples is a term of some document
+    idf = np.log((1 + own.count()) / (1 + _sum_counts(own.select("text", F.lit(0).alias("toxic")), terms)[1])) + 1 if len(terms) else np.zeros(0)
+    idf = idf * np.where(marking, MARK, 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    groups = sample.mapInArrow(_example_rows(shared), "term binary, tf binary, toxic long").groupBy("term", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    # a partition at a time, as the driver is small; in order of their terms, so that numbers do not hang on the partitions
+    examples = sorted((r["term"], r["tf"], r["n"], r["t"]) for r in groups.toLocalIterator())
     blank = [(n, t) for k, _, n, t in examples if not k]
     examples = [x for x in examples if x[0]]
-    # neighbours in this order share terms, so that bounds are tight
-    matrix = np.zeros((len(terms), len(examples)), np.float32)
-    for j, (k, w, _, _) in enumerate(examples):
-        matrix[np.frombuffer(k, "<i4"), j] = np.frombuffer(w, "<f4")
-    blocks = -(-len(examples) // BLOCK)
-    bounds = np.zeros((len(terms), blocks), np.float32)
-    for b in range(blocks):
-        bounds[:, b] = matrix[:, b * BLOCK : (b + 1) * BLOCK].max(axis=1, initial=0)
+    count, toxic = np.array([x[2] for x in examples], float), np.array([x[3] for x in examples], float)
+    term = np.frombuffer(b"".join(x[0] for x in examples), "<i4")
+    tf = np.frombuffer(b"".join(x[1] for x in examples), "<u4")
+    example = np.repeat(np.arange(len(examples), dtype=np.min_scalar_type(len(examples))), [len(x[0]) // 4 for x in examples])
+    del examples
+    order = np.argsort(term, kind="stable")
+    at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
     n0, t0 = blank[0] if blank else (0, 0)
-    return Model(terms, idf, matrix, bounds, np.array([x[2] for x in examples], float), np.array([x[3] for x in examples], float), rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
+    return Model(terms, idf, at, example[order], tf.astype(np.min_scalar_type(tf.max(initial=1)))[order], count, toxic, rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
 
 
 def _score_rows(model, text_col: str):
@@ -203,18 +268,17 @@ def _score_rows(model, text_col: str):
             scores = np.full(batch.num_rows, m.blank)
             for first, last, raw, at in tc.slices(lowered(batch.column(text_col))):
                 v = vectors(raw, at, vocabulary, m.idf)
-                cut = np.searchsorted(v.doc, np.arange(last - first + 1))
-                for d in np.flatnonzero(np.diff(cut)):
-                    scores[first + d] = m.score(v.term[cut[d] : cut[d + 1]], v.weight[cut[d] : cut[d + 1]].astype(np.float32))
+                for d, cos in m.cosines(v, np.unique(v.doc)) if len(m.count) else ():
+                    scores[first + d] = m.vote(*m.top(cos))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(np.round(scores, 6), 0, 1))], [*batch.schema.names, "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a score from 0 to 1 for every row; null and empty texts get that of examples without marking terms."""
+    """docs with a score from 0 to 1 for every row; texts without a term of the examples, as null and empty ones, get that of examples without terms."""
     tune(docs.sparkSession)
-    # at most MAX_TERMS x FIT_ROWS numbers, in practice the few toxic examples' distinct vectors
+    # an id and a count for each distinct term of each example, at most FIT_ROWS of them
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["score double"])
     return docs.mapInArrow(_score_rows(shared, text_col), schema)

@@ -1,10 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tesselode.llm import textcore as tc
 from tesselode.llm.queries import op4_toxicity
-from tesselode.llm.toxicity import fit, score
+from tesselode.llm.terms import Vocabulary, lowered
+from tesselode.llm.toxicity import fit, score, vectors
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +55,40 @@ def test_nulls_empty_and_no_labels(spark):
     none = fit(docs, labels.where("false"))
     assert {r["score"] for r in score(docs, none).collect()} == {0.5}
     assert score(docs.where("false"), fit(docs.where("false"), labels)).count() == 0
+
+
+def test_copies_without_marking_terms_are_found(spark):
+    word = lambda i, j: f"q{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}"
+    texts = [" ".join(word(i, j) for j in range(8)) for i in range(60)]  # no two share a term
+    docs = spark.createDataFrame([(i, texts[i % 60]) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in score(docs, fit(docs, labels)).collect()}
+    assert all((got[i] > 0.5) == (i % 6 == 0) for i in range(120)), got
+
+
+def test_nearest_equals_brute_force_over_all_terms(spark):
+    r = np.random.default_rng(3)
+    # of distinct beginnings, so that a word's terms are itself and its beginnings alone
+    words = ["alder", "birch", "cedar", "dogwood", "elm", "fir", "ginkgo", "hazel", "ivy", "juniper", "kapok", "larch"]
+    texts = [" ".join(r.choice(words, r.integers(1, 9))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("elm" in texts[i])) for i in range(150)], "doc_id long, toxic int")
+    m = fit(docs, labels)
+    cut = lambda t: [w[:n] for w in t.split() for n in (4, 5, 6, 7, 8, 99) if n == 99 or len(w) > n]
+    df = {w: sum(w in cut(t) for t in texts) for t in texts for w in cut(t)}
+    known = {w for t in texts[:150] for w in cut(t)}
+    marks = {"elm"}
+
+    def vector(t):
+        own = [w for w in cut(t) if w in known]
+        v = {w: (1 + np.log(own.count(w))) * (np.log(201 / (1 + df[w])) + 1) * (4 if w in marks else 1) for w in set(own)}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {tuple(sorted(vector(t).items())) for t in texts[:150]}
+    assert m.matrix.shape == (len(known), len(examples))
+    for t in texts[150:]:
+        q = vector(t)
+        want = sorted((sum(q.get(w, 0) * x for w, x in e) for e in examples), reverse=True)
+        v = vectors(*next(tc.slices(lowered(pa.array([t]))))[2:], Vocabulary(m.terms), m.idf)
+        assert np.allclose(m.nearest(v.term, v.weight)[1], [x for x in want if x > 0][:15], atol=1e-5)
