@@ -34,6 +34,7 @@ both("related_by_name_rule", "SELECT p_partkey AS id, p_type AS type FROM {part}
 both("churn", "SELECT l_partkey AS path, count(*) AS changes, round(sum(l_quantity), 2) AS added, round(sum(l_tax), 4) AS deleted FROM {lineitem} GROUP BY l_partkey ORDER BY changes DESC, path LIMIT 100")
 both("ownership", "SELECT l_suppkey AS author, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_files FROM {lineitem} GROUP BY l_suppkey")
 both("hunk_overlap", "SELECT a.l_orderkey, a.l_linenumber AS hunk, b.l_linenumber AS symbol FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5 WHERE a.l_orderkey % 10 = 0")
+both("hunk_overlap_all", "SELECT a.l_orderkey, a.l_linenumber AS hunk, b.l_linenumber AS symbol FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5")
 both("span_innermost", "WITH c AS (SELECT a.o_orderkey AS id, b.o_orderkey AS span, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_totalprice, b.o_orderkey) AS r FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.o_totalprice >= a.o_totalprice) SELECT id, span FROM c WHERE r = 1")
 both("risk_level", "SELECT o_orderkey AS id, CASE WHEN o_totalprice > 300000 OR o_orderpriority LIKE '1%' THEN 'high' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'low' END AS risk FROM {orders}")
 both("slice_math", "SELECT l_orderkey, l_linenumber, l_linenumber + CAST(l_quantity AS BIGINT) AS slice_end, CASE WHEN l_linenumber + CAST(l_quantity AS BIGINT) <= 50 THEN 1 ELSE 0 END AS valid FROM {lineitem}")
