@@ -28,6 +28,7 @@ both("find_substring", "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE
 both("find_exact", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM {customer} WHERE c_name = 'Customer#000000042' OR c_custkey = 42")
 both("find_paged", "SELECT c_custkey AS id, c_name AS name FROM {customer} WHERE c_mktsegment = 'BUILDING' ORDER BY id LIMIT 20 OFFSET 5")
 both("signature_similar", "SELECT a.p_partkey AS id, b.p_partkey AS similar_id FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 50")
+both("signature_similar_all", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS class_id, count(*) OVER (PARTITION BY p_brand, p_size) - 1 AS n_similar FROM {part} WHERE p_brand IS NOT NULL AND p_size IS NOT NULL")
 both("module_summary", "SELECT n_name AS module, count(*) AS n_symbols, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS n_functions FROM {nation} JOIN {customer} ON n_nationkey = c_nationkey GROUP BY n_name")
 both("entry_points_rule", "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE lower(p_name) LIKE 'main%' OR lower(p_name) LIKE 's%' OR lower(p_name) IN ('init', 'handler', 'run') ORDER BY id LIMIT 50")
 both("related_by_name_rule", "SELECT p_partkey AS id, p_type AS type FROM {part} WHERE (p_type LIKE '%TIN' OR p_type LIKE 'PROMO%') AND p_size % 2 = 0 ORDER BY id LIMIT 50")

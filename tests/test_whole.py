@@ -11,3 +11,11 @@ def test_hunk_overlap_over_all_orders(spark, sf):
     every = rows(spark, sf, "hunk_overlap_all")
     assert {r for r in every if r[0] % 10 == 0} == rows(spark, sf, "hunk_overlap")
     assert {r[0] % 10 for r in every} == set(range(10))
+
+
+def test_signature_classes_hold_all_pairs(spark, sf):
+    members = rows(spark, sf, "signature_similar_all")
+    assert len(members) == spark.read.parquet(f"{sf}/part.parquet").count()
+    pairs = {(i, j) for i, c, _ in members for j, d, _ in members if c == d and i != j}
+    assert {p for p in pairs if p[0] <= 50} == rows(spark, sf, "signature_similar")
+    assert sum(n for _, _, n in members) == len(pairs)
