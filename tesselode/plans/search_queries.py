@@ -144,6 +144,15 @@ def mentions_link(spark, d):
     return hit.withColumn("r", r).where("r <= 5").select("doc_id", "item_id", "word")
 
 
+@query("mentions_link_all", MENTION.removesuffix(" WHERE item_id < 10)") + ")" + ", hit AS (SELECT w.doc_id, n.item_id, w.word, row_number() OVER (PARTITION BY n.item_id, w.word ORDER BY w.doc_id) AS r FROM w JOIN names n ON w.word = n.word WHERE length(w.word) > 6) SELECT doc_id, item_id, word FROM hit WHERE r <= 5")
+def mentions_link_all(spark, d):
+    words = lambda df, k: df.select(k, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") > 6).distinct()
+    # a word's first documents are the same for every item, so the rank comes before the join
+    r = F.row_number().over(Window.partitionBy("word").orderBy("doc_id"))
+    first = words(table(spark, d, "documents"), "doc_id").withColumn("r", r).where("r <= 5")
+    return first.join(words(table(spark, d, "benchmark"), "item_id"), "word").select("doc_id", "item_id", "word")
+
+
 @query("doc_refs_missing", "WITH w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark), known AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents) SELECT item_id, count(*) AS missing FROM w WHERE word NOT IN (SELECT word FROM known) GROUP BY item_id")
 def doc_refs_missing(spark, d):
     words = lambda df, *k: df.select(*k, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()

@@ -19,3 +19,9 @@ def test_signature_classes_hold_all_pairs(spark, sf):
     pairs = {(i, j) for i, c, _ in members for j, d, _ in members if c == d and i != j}
     assert {p for p in pairs if p[0] <= 50} == rows(spark, sf, "signature_similar")
     assert sum(n for _, _, n in members) == len(pairs)
+
+
+def test_mentions_of_all_items(spark, sf):
+    every = rows(spark, sf, "mentions_link_all")
+    assert {r for r in every if r[1] < 10} == rows(spark, sf, "mentions_link")
+    assert max(r[1] for r in every) >= 10
