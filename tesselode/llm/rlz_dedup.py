@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an indexed reference.
+"""Substring dedup of words by anchored phrase hashes, where a relative Lempel-Ziv parse could stand.
 
-The reference is every document with a smaller id. It is indexed in blocks by phrase: all
-windows around one anchor, a content-defined piece that any copy of the text
-repeats. A document is parsed phrase by phrase: one that the index holds is a piece of a
-factor, and neighbouring pieces join into the greedy factor. Where a factor ends, inside a
-phrase, the windows are checked one by one, so no window across a boundary is lost.
+The reference is every document with a smaller id. No block of it is indexed for longest matches and no factor is
+extended greedily: phrases, all windows around one anchor, meet by their anchor in one exchange, and neighbouring
+equal ones do a factor's work. Windows that phrases leave open are checked one by one, so none across a boundary is
+lost. See repeats.py.
 """
 
 from __future__ import annotations
