@@ -1,10 +1,9 @@
-"""Exact substring dedup by depth-limited most-significant-digit sorting.
+"""Exact substring dedup to depth 100 by content-anchored hash groups, where a radix sort of suffixes could stand.
 
-The order of suffixes matters only as far as the threshold, so a suffix is its first 100
-bytes, sorted digit by digit; equal groups at full depth are the repeated strings. The
-first digit is the string's anchor, the second the whole of its phrase (many strings at
-once); groups of one drop out after each pass. What is left open is sorted in groups of 8
-strings, then singly by two digits of 50 bytes. See repeats.py for why this finds exactly the repeated strings.
+The order of suffixes matters only as far as the threshold, and equal groups at full depth are the repeated
+strings, so no digit passes are made. A string is grouped by the hashes of its anchor and of the whole of its phrase
+(many strings at once); groups of one drop out. What is left open is grouped by 8 strings, then singly by the hashes
+of two halves of 50 bytes. See repeats.py for why this finds the repeated strings, up to collisions of hashes.
 """
 
 from __future__ import annotations
