@@ -93,7 +93,10 @@ def merger(path: str):
 
 
 class PieceEncoder:
-    """Encodes texts as the tokenizer file does, without special tokens."""
+    """Encodes texts as the tokenizer file does with encode_special_tokens = True: a special token's literal is plain text.
+
+    The file's default setting gives such a literal the special token's own id.
+    """
 
     _made: dict[str, "PieceEncoder"] = {}
 
