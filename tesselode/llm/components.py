@@ -1,8 +1,8 @@
 """Connected components by alternating large and small stars, all in joins and aggregates.
 
 Each round links every node to the least of its neighbourhood; the edge list stays no longer
-than the links. A node with very many links is met by partial aggregation and by a join
-whose skewed partitions Spark splits; nothing gathers a component in one place.
+than the links. A node with very many links is met by partial aggregation, and its least neighbour
+is broadcast to its links; nothing gathers a component in one place.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import attach, materialise
 
 #: Rounds after which the loop gives up; it needs about log2 of the longest path.
 MAX_ROUNDS = 60
@@ -20,10 +20,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges(u, v) with u > v; the star of each node around the least of its neighbourhood. Large stars repeat no more rows than edges has."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    out = edges.join(least, "u")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        out = attach(both, least, ["u"], "n")
+        return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    out = attach(edges, least, ["u"], "n")
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
@@ -40,5 +41,5 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _settled(edges):
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        edges = materialise(_stars(_stars(edges, True), False))
+        edges = materialise(_stars(materialise(_stars(edges, True)), False))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

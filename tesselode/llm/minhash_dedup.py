@@ -7,11 +7,12 @@ similarity. Documents with all registers of a band alike are candidates; the
 counts of registers above, below and equal give the joint likelihood of the
 similarity; what may reach the threshold is verified on the full sets.
 
-Copies with equal sets are one node. A band's bucket first tries its members against the least of them;
-buckets that still hold several components then compare members of different components, register by
-register, in blocks: first each member proposes its likeliest partners, then every plausible pair
-is tested inside the block and only links leave it. So a bucket of thousands of
-near copies never becomes all its pairs, and no pair that shares a band is left untested.
+Copies with equal sets are one node, and so are the sets of one id. A band's bucket first tries its members against the
+least of them. In a bucket that still holds several components, members outside its largest component visit the
+others, which lie in blocks of bounded size: first each visitor proposes its likeliest partners, then
+every plausible pair is tested inside the block and only links leave it. A pair is tested in the first band it shares.
+A bucket of m near copies, r of them outside the largest component, is m + r * m / BLOCK rows: linear while most
+hang together. No pair of different components that shares a band is left untested.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .components import components
 from .repeats import _batch
-from .runtime import materialise, tune
+from .runtime import attach, materialise, tune
 
 WORDS, THRESHOLD = 5, (75, 100)
 #: Base and rate of the registers, registers in all, registers of a band: 32 bands of 4 miss a pair of similarity 0.75 once in 200,000.
@@ -36,8 +37,8 @@ BASE, RATE, REGISTERS, ROWS = 1.001, 20.0, 128, 4
 NATS = 8.0
 #: Partners a member proposes in the first comparison, the most alike; the second tests all that are plausible in place.
 BEST = 4
-#: Members a comparison block aims at, and members that share a copy of their centre's set.
-BLOCK, STAR = 512, 128
+#: Members and shingles a comparison block aims at, and members that share a copy of their centre's set.
+BLOCK, BLOCK_SHINGLES, STAR = 512, 250_000, 128
 
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -79,8 +80,14 @@ def sketch(x: np.ndarray) -> np.ndarray:
 
 
 def plausible(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Whether a similarity of the threshold or more fits the register counts. Sizes that rule it out do so exactly."""
+    """Whether a similarity of the threshold or more fits the register counts. Sizes that rule it out do so exactly.
+
+    Fewer than half of the registers equal lie 6.5 standard errors below the threshold's share and are not looked at.
+    """
     n_a, n_b = np.asarray(n_a, float), np.asarray(n_b, float)
+    out = (THRESHOLD[1] * np.minimum(n_a, n_b) >= THRESHOLD[0] * np.maximum(n_a, n_b)) & (2 * (REGISTERS - above - below) >= REGISTERS)
+    i = np.flatnonzero(out)
+    n_a, n_b, above, below = n_a[i], n_b[i], above[i], below[i]
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     top = np.minimum(u, v) / np.maximum(u, v)
     grid = np.linspace(0, 1, 81)[None, :]
@@ -96,7 +103,8 @@ def plausible(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.nda
 
     best = likelihood(grid * top[:, None]).max(axis=1)
     near = likelihood(aim + grid * np.maximum(top - aim, 0)[:, None]).max(axis=1)
-    return (THRESHOLD[1] * np.minimum(n_a, n_b) >= THRESHOLD[0] * np.maximum(n_a, n_b)) & (near >= best - NATS)
+    out[i] = near >= best - NATS
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -110,26 +118,32 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "s1", "s2", "sketch"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "tx", "n", "s1", "s2", "sketch"]
+    kinds = [*[pa.int64()] * 5, pa.binary()]
     for batch in batches:
-        ids, rows = batch.column(0).to_pylist(), []
-        for first, _, raw, at in tc.slices(batch.column(1)):
+        ids, tx, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        for first, _, raw, at in tc.slices(batch.column(2)):
             for i, x in enumerate(shingle_sets(raw, at)):
                 s = [int(tc.mix(x ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (0x51ED270B, 0xA0761D6478BD642F)]
-                rows.append((ids[first + i], len(x), *s, sketch(x).tobytes() if len(x) else None))
+                rows.append((ids[first + i], tx[first + i], len(x), *s, sketch(x).tobytes() if len(x) else None))
         yield _batch(rows, names, kinds)
 
 
+def _bands(regs: np.ndarray) -> np.ndarray:
+    """Registers of documents, a band of four as one number."""
+    return np.ascontiguousarray(regs).view("<u8").astype(np.uint64)
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), REGISTERS)
-        packed = np.ascontiguousarray(regs).view("<u8").astype(np.uint64)
-        keys = tc.mix(packed ^ tc.mix(np.arange(1, packed.shape[1] + 1, dtype=np.uint64))[None, :])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(ids, packed.shape[1]))], ["key", "id"])
+        ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        packed = _bands(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(ids), REGISTERS))
+        width = packed.shape[1]
+        keys = tc.mix(packed ^ tc.mix(np.arange(1, width + 1, dtype=np.uint64))[None, :])
+        columns = [pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(np.arange(width, dtype=np.int32), len(ids))), pa.array(np.repeat(ids, width)), pa.array(np.repeat(n, width))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "band", "id", "n"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,58 +163,61 @@ def _estimate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(ok)).select([0, 1])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
-    """Runs of rows with equal leading columns, from sorted partitions."""
-    held, key = [], None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:n_keys] != key:
-                if held:
-                    yield held
-                held, key = [], row[:n_keys]
-            held.append(row)
-    if held:
-        yield held
+class _Home:
+    """The members of a block, whom visitors are compared with."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.band = rows[0][3]
+        self.ids, self.comps, self.rest, self.n = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
+        self.regs = np.frombuffer(b"".join(r[8] for r in rows), "<u2").reshape(len(rows), REGISTERS)
+        self.bands = _bands(self.regs)
+        self.sets = [np.frombuffer(r[9], np.uint64) for r in rows] if len(rows[0]) > 9 else []
+        self.now: dict[int, int] = {}  # components that joined another one here
+
+    def meet(self, row: tuple, best: int | None) -> list[tuple[int, int]]:
+        """Pairs of a visitor and members of other components: the likeliest, or, without best, those that are linked."""
+        i, comp, n = row[4], self.now.get(row[5], row[5]), row[7]
+        regs = np.frombuffer(row[8], "<u2")
+        o = np.flatnonzero((self.comps != comp) & (~self.rest | (self.ids < i)))
+        if not len(o):
+            return []
+        # each pair is met in the first band that both share
+        o = o[(self.bands[o] == _bands(regs)[None, :]).argmax(axis=1) == self.band]
+        x = self.regs[o]
+        above, below = (x > regs).sum(axis=1), (x < regs).sum(axis=1)
+        fit = np.flatnonzero(plausible(self.n[o], np.full(len(o), n), above, below))
+        o = o[fit[np.argsort((above + below)[fit], kind="stable")]]
+        if best is not None:
+            return [(int(i), int(q)) for q in self.ids[o[:best]]]
+        own, out = np.frombuffer(row[9], np.uint64), []
+        for q in o:
+            if self.comps[q] != comp and linked(own, self.sets[q]):
+                out.append((int(i), int(self.ids[q])))
+                other = int(self.comps[q])
+                self.comps[self.comps == comp] = other
+                for k in [k for k, v in self.now.items() if v == comp]:
+                    self.now[k] = other
+                self.now[comp] = comp = other
+        return out
 
 
 def _compare_rows(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
-    """Within a block pair (key, i, j), pairs (a, b) of members of different components.
-
-    With best, only so many plausible ones for each member, those with the most equal registers. Without, every
-    plausible pair is verified here on the full sets that the rows then carry, likeliest first, and one
-    link for each two components leaves: never more links than components.
-    """
-    out: list[tuple] = []
-    for rows in _groups(batches, 3):
-        i, j = rows[0][1:3]
-        side, ids, comps, n = (np.array([r[c] for r in rows]) for c in (3, 4, 5, 6))
-        regs = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), REGISTERS)
-        names, counts = np.unique(comps, return_counts=True)
-        rest = np.flatnonzero(comps != names[counts.argmax()])
-        place = np.full(len(rows), -1)
-        place[rest] = np.arange(len(rest))
-        for k, r in enumerate(rest):
-            other = (comps != comps[r]) & ((place < 0) | (place > k)) & ((side != side[r]) | (i == j))
-            o = np.flatnonzero(other)
-            if not len(o):
-                continue
-            x = regs[o]
-            above, below = (x > regs[r]).sum(axis=1), (x < regs[r]).sum(axis=1)
-            fit = plausible(n[o], np.full(len(o), n[r]), above, below)
-            o = o[fit][np.argsort((above + below)[fit], kind="stable")]
-            if best is not None:
-                out += [(int(ids[r]), int(ids[q])) for q in o[:best]]
+    """Over (key, block, role, band, id, comp, rest, n, sketch[, grams]) sorted: a block's members first, which are held, then its visitors one by one."""
+    key, members, home = None, [], None
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:2] != key:
+                key, members, home = row[:2], [], None
+            if row[2] == 0:
+                members.append(row)
                 continue
-            own = np.frombuffer(rows[r][8], np.uint64)
-            for q in o:
-                if comps[q] != comps[r] and linked(own, np.frombuffer(rows[q][8], np.uint64)):
-                    out.append((int(ids[r]), int(ids[q])))
-                    comps[comps == comps[r]] = comps[q]
-        if len(out) > 5000:
+            if home is None and members:
+                home, members = _Home(members), []
+            if home is not None:
+                out += home.meet(row, best)
+        if out:
             yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
-            out = []
-    if out:
-        yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
 
 
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,75 +239,106 @@ def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _estimate(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     slim = sets.select("id", "n", "sketch")
-    x = pairs.join(slim.toDF("a", "n_a", "sk_a"), "a").join(slim.toDF("b", "n_b", "sk_b"), "b")
+    counts = materialise(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("pairs")).join(slim, "id").toDF("a", "pairs", "n_a", "sk_a"))
+    x = attach(pairs, counts, ["a"], "pairs").join(slim.toDF("b", "n_b", "sk_b"), "b")
     return x.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(_estimate_rows, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are linked. A centre's set goes once to every STAR of its members."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("stars"))
-    members = pairs.join(counts, "a").select("a", F.expr("pmod(xxhash64(b), stars)").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    pairs = materialise(pairs)
+    counts = materialise(pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("stars", F.ceil(F.col("pairs") / STAR).cast("int")))
+    members = attach(pairs, counts, ["a"], "pairs").select("a", F.expr("pmod(xxhash64(b), stars)").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
     centres = counts.select("a", F.explode(F.expr("sequence(0L, stars - 1L)")).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
     rows = members.unionByName(centres).join(sets.select("id", "grams"), "id").select("a", "salt", "role", "id", "grams")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify_rows, "a long, b long")
 
 
 def _proposed(live: DataFrame, sets: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b) of different components within buckets of more than two, compared in blocks: see _compare_rows."""
-    columns = ["id", "n", "sketch"] + ["grams"] * (best is None)
-    joined = live.where("m > 2").join(comps, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("comp"))
-    buckets = joined.groupBy("key", "m").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig")).where("p <> q")
-    open_keys = buckets.groupBy("sig", "m").agg(F.min("key").alias("key")).select("key")
-    members = joined.join(open_keys, "key").join(sets.dropDuplicates(["id", "sketch"]).select(columns), "id")
-    members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "comp", *columns[1:])
-    rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    """Pairs (a, b) of different components within buckets of more than two: see _compare_rows."""
+    columns = ["n", "sketch"] + ["grams"] * (best is None)
+    joined = live.where("m > 2").join(comps, "id", "left").select("key", "band", "id", "n", "m", F.coalesce("component", "id").alias("comp"))
+    parts = joined.groupBy("key", "band", "m", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig"))
+    buckets = parts.groupBy("key", "band", "m").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("w").alias("w"), F.sum("sig").alias("sig"), F.count("*").alias("parts")).where("parts > 1")
+    # of buckets with the same members that of the least band stays: it is the first that its pairs share
+    chosen = buckets.groupBy("sig", "m").agg(F.min(F.struct("band", "key", "most", "w")).alias("x"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("x.w") / BLOCK_SHINGLES)).cast("int")
+    chosen = chosen.select("x.key", F.col("x.most.comp").alias("most"), blocks.alias("blocks"))
+    members = joined.join(chosen, "key").select("key", "band", "id", "comp", (F.col("comp") != F.col("most")).alias("rest"), "blocks")
+    home = members.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("role", F.lit(0))
+    visitors = members.where("rest").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("role", F.lit(1))
+    rows = home.unionByName(visitors).drop("blocks").join(sets.select("id", *columns), "id").select("key", "block", "role", "band", "id", "comp", "rest", *columns)
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "role")
     return rows.mapInArrow(lambda batches: _compare_rows(batches, best), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
-
-    Linked: 100 * intersection >= 75 * union of the 5-word shingle sets (A-Z in lower case); a text of
-    1 to 4 words is one shingle; null, empty or blank texts have no shingles and no links. component_id is the
-    smallest id reachable; kept: it is the row's own. A null id is never linked: null component, kept.
-    Rows that share an id are one node; a copy of a row shares its group and its verdict.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tx (hash of the text), n, component_id of every row of docs: see near_duplicates."""
     tune(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(own.mapInArrow(_sketch_rows, "doc_id long, n long, s1 long, s2 long, sketch binary"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tx"), F.col(text_col).alias("text"))
+    rows = materialise(own.mapInArrow(_sketch_rows, "doc_id long, tx long, n long, s1 long, s2 long, sketch binary"))
     full = rows.where("n > 0 and doc_id is not null")
-    nodes = materialise(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
-    bands = nodes.select("id", "sketch").mapInArrow(_band_rows, "key long, id long")
+    nodes = materialise(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    bands = nodes.select("id", "n", "sketch").mapInArrow(_band_rows, "key long, band int, id long, n long")
     crowded = bands.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1")
     live = materialise(bands.join(crowded, "key"))
+    key = F.struct("n", "s1", "s2")
+    repeated = materialise(full.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y"), F.count("*").alias("rows")).where("rows > 1"))
+    again = not repeated.isEmpty()
     ids = live.select("id").distinct()
-    sets = materialise(own.where("doc_id is not null").join(ids, own["doc_id"] == ids["id"]).select("doc_id", "text").mapInArrow(_set_rows, "id long, n long, sketch binary, grams binary"))
+    texts = own.where("doc_id is not null").join(ids, own["doc_id"] == ids["id"])
+    texts = (texts.dropDuplicates(["doc_id", "tx"]) if again else texts).select("doc_id", "text")
+    sets = materialise(texts.mapInArrow(_set_rows, "id long, n long, sketch binary, grams binary"))
     tried = materialise(live.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
-    links = materialise(_verify(_estimate(tried, sets), sets))
+    links = _verify(_estimate(tried, sets), sets)
+
+    if again:  # ids with several sets, each of which hangs on the id
+        several = full.join(repeated.where("x <> y").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "s1", "s2").distinct()
+        links = links.unionByName(several.join(nodes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     first = components(links)
 
     tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for best in (BEST, None):
-        more = materialise(_proposed(live, sets, first, best))
+        more = _proposed(live, sets, first, best)
         if best is not None:
-            more = materialise(_verify(materialise(more.join(tried, ["a", "b"], "left_anti")), sets))
+            more = _verify(more.join(tried, ["a", "b"], "left_anti"), sets)
+        more = materialise(more)
+        if more.isEmpty():
+            continue
         more = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
         second = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
         # nodes of the components that moved, and those least nodes that had no row of their own
         moved = first.join(second.toDF("component", "c2"), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
         first = materialise(moved.unionByName(second.join(first.select("id"), "id", "left_anti")))
 
-    groups = nodes.select("n", "s1", "s2", "id").join(first.toDF("id", "c1"), "id", "left").withColumn("c1", F.coalesce("c1", "id"))
-    groups = groups.select("n", "s1", "s2", F.col("c1").alias("component_id"))
-    out = rows.join(groups, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    groups = nodes.select("n", "s1", "s2", "id", "copies").join(first, "id", "left").select("n", "s1", "s2", "copies", F.coalesce("component", "id").alias("found"))
+    out = attach(rows.drop("sketch"), materialise(groups), ["n", "s1", "s2"], "copies", "left")
+    return out.select("doc_id", "tx", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    Linked: 100 * intersection >= 75 * union of the 5-word shingle sets (A-Z in lower case); a text of
+    1 to 4 words is one shingle; null, empty or blank texts have no shingles and no links. component_id is the
+    smallest id reachable; kept: it is the row's own. A null id is never linked: null component, kept.
+    Rows that share an id are one document: its texts are linked with each other, but for those without shingles.
+    Other columns of docs are not looked at. An empty table gives no rows.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _grouped(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose group holds a smaller id. Of identical repeated rows one stays, as they share an id and a text."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return with_id.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each group of near duplicates, with all columns of docs, whatever their names.
+
+    It is the row of the smallest id; if that id has several texts, the one with the most shingles, then the
+    smallest hash; of rows that repeat id and text any one. Rows without shingles are in no group: each
+    distinct (id, text) of them stays once. Rows with a null id all stay.
+    """
+    verdict = _grouped(docs, id_col, text_col).where("doc_id = component_id")
+    best = verdict.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", F.bitwise_not("tx").alias("t"))).alias("x")).select("doc_id", F.bitwise_not("x.t").alias("tx"))
+    stay = best.unionByName(verdict.where("n = 0").select("doc_id", "tx").distinct()).toDF("__stay_id", "__stay_tx")
+    marked = docs.withColumn("__stay_key", F.xxhash64(text_col))
+    with_id = marked.where(F.col(id_col).isNotNull()).join(stay, (F.col(id_col) == F.col("__stay_id")) & (F.col("__stay_key") == F.col("__stay_tx")), "left_semi")
+    return with_id.dropDuplicates([id_col, "__stay_key"]).unionByName(marked.where(F.col(id_col).isNull())).select(docs.columns)

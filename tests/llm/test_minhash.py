@@ -88,5 +88,37 @@ def test_components_of_long_paths(spark):
     assert got == {i: 0 for i in range(1, 71)} | {200: 100, 300: 100}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, ""), (9, c), (9, c), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(*r, 1, "x", r[0]) for r in rows], SCHEMA + ", n int, component_id string, tx long")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == [(3, 26, 3, True), (5, 0, 5, True), (5, 26, 3, False), (5, 26, 3, False), (7, 26, 3, False), (9, 0, 9, True), (9, 0, 9, True), (9, 26, 9, True), (9, 26, 9, True)]
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(3, a), (5, ""), (9, ""), (9, c)]
+    # of several texts of the smallest id the one with the most shingles stays
+    pair = spark.createDataFrame([(1, a), (1, a + " " + b), (2, a)], SCHEMA)
+    assert [r["text"] for r in drop_near_duplicates(pair).collect()] == [a + " " + b]
+
+
+def test_a_hub_is_split(spark, monkeypatch):
+    from tesselode.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT", 3)
+    links = [(7, i) for i in range(100, 400)] + [(i, 399) for i in range(500, 800)] + [(3, 600), (900, 901)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 3 for i in [7, *range(100, 400), *range(500, 800)]} | {901: 900}
+
+
+def test_recall_of_the_law_on_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    got = {g["doc_id"]: tuple(g[1:]) for g in near_duplicates(docs).collect()}
+    grouped = [i for i, v in want.items() if v[1] != i]
+    assert len(grouped) > 50 and sum(got[i] == want[i] for i in grouped) >= 0.999 * len(grouped)
+    assert all(got[i][0] == v[0] for i, v in want.items())
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
