@@ -24,17 +24,26 @@ def term_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Vocabulary:
-    """Sorted hashes with a table of 2**20 bits before them, so that most misses cost one look."""
+    """Sorted hashes, and where those of each leading bits begin: a look-up reads one place and the few hashes there."""
 
     def __init__(self, hashes: np.ndarray) -> None:
         self.hashes = np.sort(np.asarray(hashes, np.uint64))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        bits = min(max(len(self.hashes).bit_length() + 1, 10), 22)
+        self.shift = np.uint64(64 - bits)
+        own = (self.hashes >> self.shift).astype(np.int64)
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=1 << bits)))).astype(np.int32)
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices into x that are in the vocabulary, and their numbers there."""
-        i = np.flatnonzero(self.maybe[(x & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(self.hashes) else np.zeros(0, np.int64)
-        y = x[i]
-        k = np.minimum(np.searchsorted(self.hashes, y), max(len(self.hashes) - 1, 0))
-        hit = self.hashes[k] == y if len(i) else np.zeros(0, bool)
-        return i[hit], k[hit]
+        """Indices into x that are in the vocabulary, in order, and their numbers there."""
+        place = (x >> self.shift).astype(np.int64)
+        number = np.full(len(x), -1, np.int64)
+        k, end = self.start[place], self.start[place + 1]
+        i = np.flatnonzero(k < end)
+        while len(i):
+            hit = self.hashes[k[i]] == x[i]
+            number[i[hit]] = k[i[hit]]
+            i = i[~hit]
+            k[i] += 1
+            i = i[k[i] < end[i]]
+        found = np.flatnonzero(number >= 0)
+        return found, number[found]

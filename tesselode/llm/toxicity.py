@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms.
 
-Terms are words and their beginnings of 4 to 8 bytes. A bounded sample of labelled documents gives the
+Terms are words and their beginnings of 4 and 7 bytes. A bounded sample of labelled documents gives the
 vocabulary, all of its terms, and the examples; document frequencies are counted over all documents. Terms that mark
 toxic examples, by the lower bound of their precision, weigh MARK times as much; no term is left out.
 Examples with equal vectors are one, with its count of labels. A search adds up the cosine to every example, common
 terms by a dense product and the others by their postings, so the nearest are exact. They vote with weights
-1 / (distance + 0.05); the base rate joins the vote, which keeps scores calibrated where evidence is thin.
+1 / (distance + 0.05); the base rate joins the vote, which keeps scores calibrated where evidence is thin. The nearest
+are the evidence of a score. Block bounds are not kept: texts of hundreds of terms leave few blocks out (see README).
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from .repeats import _batch
 from .runtime import materialise, tune
 from .terms import Vocabulary, lowered, term_bounds
 
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (4, 7)
 #: Labelled documents that are fitted on, neighbours, weight of the base rate.
 FIT_ROWS, NEIGHBOURS, PRIOR = 16384, 15, 2.0
 #: To weigh MARK times as much a term needs this many toxic examples, and a lower bound of its precision this many times the base rate; Z is high, as very many terms are tried.
 LEAST_TOXIC, LIFT, Z, MARK = 4, 3.0, 3.3, 4.0
 #: Terms in one of COMMON examples have a dense row, at most DENSE of them; documents a dense product takes.
-COMMON, DENSE, TOGETHER = 12, 1024, 64
+COMMON, DENSE, TOGETHER = 18, 1024, 512
+#: Terms whose document frequencies travel together.
+CHUNK = 1 << 14
 THRESHOLD = 0.3
 
 
@@ -49,50 +52,71 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(terms)
 
 
-def _counts(known):
-    """Task over (text, toxic): per term the documents that hold it, and the toxic ones; of the broadcast terms only, if given."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (text, toxic): per term the documents that hold it, and the toxic ones."""
+    h, n, t = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False)
+        for first, last, raw, at in tc.slices(lowered(batch.column(0))):
+            doc, term = features(raw, at)
+            if not len(term):
+                continue
+            own, k = np.unique(term, return_inverse=True)
+            pair = np.unique(doc * len(own) + k)
+            doc, k = pair // len(own), pair % len(own)
+            some, hits = np.bincount(k, minlength=len(own)), np.bincount(k[toxic[first:last][doc] > 0], minlength=len(own))
+            h, back = np.unique(np.concatenate((h, own)), return_inverse=True)
+            n = np.bincount(back, np.concatenate((n, some)), len(h)).astype(np.int64)
+            t = np.bincount(back, np.concatenate((t, hits)), len(h)).astype(np.int64)
+    for i in range(0, len(h), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000].astype(np.int64)), pa.array(n[i : i + 50_000]), pa.array(t[i : i + 50_000])], ["term", "n", "t"])
+
+
+def _vocabulary_of(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of sample(text, toxic) in order, the documents that hold them, and the toxic ones."""
+    sums = sample.mapInArrow(_counts, "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    term, n, t = (sums.column(c).to_numpy() for c in ("term", "n", "t"))
+    term = term.astype(np.int64).astype(np.uint64)
+    order = np.argsort(term)
+    return term[order], n[order], t[order]
+
+
+def _known_counts(shared):
+    """Task over (text): for every CHUNK of the broadcast terms, how many documents hold each, as a blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = None if known is None else Vocabulary(known.value)
-        size = 0 if vocabulary is None else len(vocabulary.hashes)
-        h, n, t = (np.zeros(0, np.uint64) if vocabulary is None else vocabulary.hashes), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        vocabulary = Vocabulary(shared.value)
+        size = len(vocabulary.hashes)
+        n = np.zeros(size, "<i4")
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, last, raw, at in tc.slices(lowered(batch.column(0))):
+            for _, _, raw, at in tc.slices(lowered(batch.column(0))):
                 doc, term = features(raw, at)
-                if vocabulary is None:
-                    own, k = np.unique(term, return_inverse=True)
-                else:
-                    i, k = vocabulary.find(term)
-                    doc, own = doc[i], h
-                if not len(k):
-                    continue
-                pair = np.unique(doc * len(own) + k)
-                doc, k = pair // len(own), pair % len(own)
-                some, hits = np.bincount(k, minlength=len(own)), np.bincount(k[toxic[first:last][doc] > 0], minlength=len(own))
-                if vocabulary is not None:
-                    n += some
-                    t += hits
-                    continue
-                h, back = np.unique(np.concatenate((h, own)), return_inverse=True)
-                n = np.bincount(back, np.concatenate((n, some)), len(h)).astype(np.int64)
-                t = np.bincount(back, np.concatenate((t, hits)), len(h)).astype(np.int64)
-        seen = np.flatnonzero(n)
-        h, n, t = h[seen], n[seen], t[seen]
-        for i in range(0, len(h), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000].astype(np.int64)), pa.array(n[i : i + 50_000]), pa.array(t[i : i + 50_000])], ["term", "n", "t"])
+                i, k = vocabulary.find(term)
+                n += np.bincount(np.unique(doc[i] * size + k) % size, minlength=size).astype("<i4")
+        yield _batch([(c // CHUNK, n[c : c + CHUNK].tobytes()) for c in range(0, size, CHUNK) if n[c : c + CHUNK].any()], ["chunk", "n"], [pa.int32(), pa.binary()])
 
     return run
 
 
-def _sum_counts(docs: DataFrame, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms in order, the documents that hold them, and the toxic ones."""
-    shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
-    sums = docs.mapInArrow(_counts(shared), "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    term, n, t = (sums.column(c).to_numpy() for c in ("term", "n", "t"))
-    term = term.astype(np.int64).astype(np.uint64)
-    order = np.argsort(term)
-    return term[order], n[order], t[order]
+def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            x = np.frombuffer(blob, "<i4").astype(np.int64)
+            sums[c] = sums[c] + x if c in sums else x
+    yield _batch([(c, x.astype("<i8").tobytes()) for c, x in sums.items()], ["chunk", "n"], [pa.int32(), pa.binary()])
+
+
+def _frequencies(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How many of texts hold each term."""
+    out = np.zeros(len(terms), np.int64)
+    if len(terms):
+        shared = texts.sparkSession.sparkContext.broadcast(terms)
+        chunks = texts.mapInArrow(_known_counts(shared), "chunk int, n binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, n binary")
+        for r in chunks.toLocalIterator():
+            x = np.frombuffer(r["n"], "<i8")
+            out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(x)] = x
+    return out
 
 
 @dataclass
@@ -146,7 +170,7 @@ class Matrix:
 @dataclass
 class Model:
     """The fitted index. terms: hashes; idf by term number, times MARK where a term marks toxic examples; postings as
-    example and count of the term there, those of term t from at[t] on; each example's labels, and toxic ones."""
+    example and count of the term there, those of term t from at[t] on; each example's labels, toxic ones, and least id."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -155,6 +179,7 @@ class Model:
     tf: np.ndarray
     count: np.ndarray
     toxic: np.ndarray
+    ids: np.ndarray
     rate: float
     blank: float
 
@@ -186,7 +211,8 @@ class Model:
             query[np.searchsorted(docs, v.doc[own]) - c, row[v.term[own]]] = v.weight[own]
             for d, i, j, cos in zip(docs[c : c + TOGETHER], lo, hi, query @ rows, strict=True):
                 rare = np.flatnonzero(row[v.term[i:j]] < 0) + i
-                yield int(d), cos + self.matrix.dot(v.term[rare], v.weight[rare].astype(np.float32))
+                cos += self.matrix.dot(v.term[rare], v.weight[rare].astype(np.float32))
+                yield int(d), cos
 
     def top(self, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples of all cosines; ties, to six digits, by number."""
@@ -214,11 +240,11 @@ def _example_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
         for batch in batches:
-            toxic = batch.column(1).to_pylist()
+            toxic, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, last, raw, at in tc.slices(lowered(batch.column(0))):
                 doc, k, tf = counted(raw, at, vocabulary)
                 cut = np.searchsorted(doc, np.arange(last - first + 1))
-                yield _batch([(k[i:j].astype("<i4").tobytes(), tf[i:j].astype("<u4").tobytes(), int(toxic[first + d])) for d, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))], ["term", "tf", "toxic"], [pa.binary(), pa.binary(), pa.int64()])
+                yield _batch([(k[i:j].astype("<i4").tobytes(), tf[i:j].astype("<u4").tobytes(), int(toxic[first + d]), ids[first + d]) for d, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))], ["term", "tf", "toxic", "id"], [pa.binary(), pa.binary(), pa.int64(), pa.int64()])
 
     return run
 
@@ -233,23 +259,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__l")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     some = materialise(marks.orderBy(F.xxhash64("__l"), "__l").limit(fit_rows))
-    sample = materialise(own.join(some, F.col("__id") == F.col("__l")).select("text", "toxic"))
+    sample = materialise(own.join(some, F.col("__id") == F.col("__l")).select("text", "toxic", F.col("__id").cast("long").alias("id")))
     rows, hits = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = (hits + 0.5) / (rows + 1)
-    terms, n, t = _sum_counts(sample, None)
+    terms, n, t = _vocabulary_of(sample.select("text", "toxic"))
     p = t / np.maximum(n, 1)
     lower = (p + Z * Z / (2 * n) - Z * np.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
     marking = (t >= LEAST_TOXIC) & (lower >= min(LIFT * rate, 0.6))
     # every term of the examples is a term of some document
-    idf = np.log((1 + own.count()) / (1 + _sum_counts(own.select("text", F.lit(0).alias("toxic")), terms)[1])) + 1 if len(terms) else np.zeros(0)
-    idf = idf * np.where(marking, MARK, 1.0)
+    idf = (np.log((1 + own.count()) / (1 + _frequencies(own.select("text"), terms))) + 1) * np.where(marking, MARK, 1.0)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    groups = sample.mapInArrow(_example_rows(shared), "term binary, tf binary, toxic long").groupBy("term", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    groups = sample.mapInArrow(_example_rows(shared), "term binary, tf binary, toxic long, id long").groupBy("term", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.min("id").alias("id"))
     # a partition at a time, as the driver is small; in order of their terms, so that numbers do not hang on the partitions
-    examples = sorted((r["term"], r["tf"], r["n"], r["t"]) for r in groups.toLocalIterator())
-    blank = [(n, t) for k, _, n, t in examples if not k]
+    examples = sorted((r["term"], r["tf"], r["n"], r["t"], r["id"]) for r in groups.toLocalIterator())
+    blank = [(n, t) for k, _, n, t, _ in examples if not k]
     examples = [x for x in examples if x[0]]
     count, toxic = np.array([x[2] for x in examples], float), np.array([x[3] for x in examples], float)
+    ids = np.array([x[4] for x in examples], np.int64)
     term = np.frombuffer(b"".join(x[0] for x in examples), "<i4")
     tf = np.frombuffer(b"".join(x[1] for x in examples), "<u4")
     example = np.repeat(np.arange(len(examples), dtype=np.min_scalar_type(len(examples))), [len(x[0]) // 4 for x in examples])
@@ -257,28 +283,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = np.argsort(term, kind="stable")
     at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
     n0, t0 = blank[0] if blank else (0, 0)
-    return Model(terms, idf, at, example[order], tf.astype(np.min_scalar_type(tf.max(initial=1)))[order], count, toxic, rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
+    return Model(terms, idf, at, example[order], tf.astype(np.min_scalar_type(tf.max(initial=1)))[order], count, toxic, ids, rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
+
 
+def _score_rows(model, text_col: str, evidence: int):
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
 
-def _score_rows(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         vocabulary = Vocabulary(m.terms)
         for batch in batches:
-            scores = np.full(batch.num_rows, m.blank)
-            for first, last, raw, at in tc.slices(lowered(batch.column(text_col))):
+            scores, near = np.full(batch.num_rows, m.blank), [[] for _ in range(batch.num_rows)]
+            for first, last, raw, at in tc.slices(lowered(batch.column(text_col)), 2 * tc.SLICE_BYTES):
                 v = vectors(raw, at, vocabulary, m.idf)
                 for d, cos in m.cosines(v, np.unique(v.doc)) if len(m.count) else ():
-                    scores[first + d] = m.vote(*m.top(cos))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(np.round(scores, 6), 0, 1))], [*batch.schema.names, "score"])
+                    ids, c = m.top(cos)
+                    scores[first + d] = m.vote(ids, c)
+                    near[first + d] = [{"doc_id": int(m.ids[i]), "cosine": round(float(x), 6), "toxic": float(m.toxic[i] / m.count[i])} for i, x in zip(ids[:evidence], c[:evidence], strict=True)]
+            columns, names = [*batch.columns, pa.array(np.clip(np.round(scores, 6), 0, 1))], [*batch.schema.names, "score"]
+            if evidence:
+                columns, names = [*columns, pa.array(near, kind)], [*names, "evidence"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a score from 0 to 1 for every row; texts without a term of the examples, as null and empty ones, get that of examples without terms."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", evidence: int = 0) -> DataFrame:
+    """docs with a score from 0 to 1 for every row and, if asked for, that many nearest examples as evidence.
+
+    Evidence: the least document id of an example, its cosine, and the toxic share of its labels, nearest first, at most
+    NEIGHBOURS. Texts without a term of the examples, as null and empty ones, get the score of examples without terms, and
+    no evidence. Columns of docs named score or evidence are replaced; all others pass through. No rows: none.
+    """
     tune(docs.sparkSession)
+    docs = docs.drop("score", *["evidence"] * bool(evidence))
     # an id and a count for each distinct term of each example, at most FIT_ROWS of them
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["score double"])
-    return docs.mapInArrow(_score_rows(shared, text_col), schema)
+    added = ["score double"] + ["evidence array<struct<doc_id: bigint, cosine: double, toxic: double>>"] * bool(evidence)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + added)
+    return docs.mapInArrow(_score_rows(shared, text_col, evidence), schema)

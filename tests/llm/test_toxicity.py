@@ -57,6 +57,38 @@ def test_nulls_empty_and_no_labels(spark):
     assert score(docs.where("false"), fit(docs.where("false"), labels)).count() == 0
 
 
+def test_clashing_columns_and_evidence(spark):
+    rows = [(i, ("you idiot moron scum" if i % 2 else "the calm sea") + f" w{i}", "old", 3) for i in range(40)] + [(99, None, "old", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, evidence int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    m = fit(docs, labels)
+    plain = score(docs, m)
+    assert plain.columns == ["doc_id", "text", "evidence", "score"] and {r["evidence"] for r in plain.collect()} == {3, 4}
+    got = {r["doc_id"]: r for r in score(docs, m, evidence=2).collect()}
+    assert got[99]["evidence"] == [] and got[99]["text"] is None
+    for i in range(30):  # a labelled text is its own nearest example
+        e = got[i]["evidence"]
+        assert len(e) == 2 and (e[0]["doc_id"], e[0]["cosine"], e[0]["toxic"]) == (i, 1.0, i % 2) and e[1]["toxic"] == i % 2
+    assert {r["doc_id"]: r["score"] for r in plain.collect()} == {i: r["score"] for i, r in got.items()}
+
+
+def test_votes_equal_brute_force(spark):
+    """The score of every text, from dense cosines to every example."""
+    r = np.random.default_rng(8)
+    words = ["alder", "birch", "cedar", "dogwood", "elm", "fir", "ginkgo", "hazel", "ivy", "juniper"]
+    texts = [" ".join(r.choice(words, r.integers(1, 12))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    m = fit(docs, spark.createDataFrame([(i, int(r.random() < 0.3)) for i in range(100)], "doc_id long, toxic int"))
+    whole = m.matrix[np.arange(len(m.terms))].astype(float)
+    for row in score(docs, m).collect():
+        v = vectors(*next(tc.slices(lowered(pa.array([row["text"]]))))[2:], Vocabulary(m.terms), m.idf)
+        cos = np.round(sum(w * whole[t] for t, w in zip(v.term, v.weight, strict=True)), 6)
+        near = sorted((-c, e) for e, c in enumerate(cos) if c > 0)[:15]
+        votes = [(np.sqrt(m.count[e]) / (1 + c + 0.05), m.toxic[e] / m.count[e]) for c, e in near]
+        want = (sum(a * b for a, b in votes) + 2 * m.rate) / (sum(a for a, _ in votes) + 2)
+        assert abs(row["score"] - want) < 1e-3
+
+
 def test_copies_without_marking_terms_are_found(spark):
     word = lambda i, j: f"q{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}"
     texts = [" ".join(word(i, j) for j in range(8)) for i in range(60)]  # no two share a term
@@ -74,7 +106,7 @@ def test_nearest_equals_brute_force_over_all_terms(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int("elm" in texts[i])) for i in range(150)], "doc_id long, toxic int")
     m = fit(docs, labels)
-    cut = lambda t: [w[:n] for w in t.split() for n in (4, 5, 6, 7, 8, 99) if n == 99 or len(w) > n]
+    cut = lambda t: [w[:n] for w in t.split() for n in (4, 7, 99) if n == 99 or len(w) > n]
     df = {w: sum(w in cut(t) for t in texts) for t in texts for w in cut(t)}
     known = {w for t in texts[:150] for w in cut(t)}
     marks = {"elm"}
