@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .components import components
 from .repeats import _batch
-from .runtime import attach, materialise, tune
+from .runtime import attach, fresh, materialise, tune
 
 WORDS, THRESHOLD = 5, (75, 100)
 #: Base and rate of the registers, registers in all, registers of a band: 32 bands of 4 miss a pair of similarity 0.75 once in 200,000.
@@ -338,7 +338,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     verdict = _grouped(docs, id_col, text_col).where("doc_id = component_id")
     best = verdict.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", F.bitwise_not("tx").alias("t"))).alias("x")).select("doc_id", F.bitwise_not("x.t").alias("tx"))
-    stay = best.unionByName(verdict.where("n = 0").select("doc_id", "tx").distinct()).toDF("__stay_id", "__stay_tx")
-    marked = docs.withColumn("__stay_key", F.xxhash64(text_col))
-    with_id = marked.where(F.col(id_col).isNotNull()).join(stay, (F.col(id_col) == F.col("__stay_id")) & (F.col("__stay_key") == F.col("__stay_tx")), "left_semi")
-    return with_id.dropDuplicates([id_col, "__stay_key"]).unionByName(marked.where(F.col(id_col).isNull())).select(docs.columns)
+    key = fresh(docs, "key")
+    marked = docs.withColumn(key, F.xxhash64(text_col))
+    i, t = fresh(marked, "stay_id"), fresh(marked, "stay_tx")
+    stay = best.unionByName(verdict.where("n = 0").select("doc_id", "tx").distinct()).toDF(i, t)
+    with_id = marked.where(F.col(id_col).isNotNull()).join(stay, (F.col(id_col) == F.col(i)) & (F.col(key) == F.col(t)), "left_semi")
+    return with_id.dropDuplicates([id_col, key]).unionByName(marked.where(F.col(id_col).isNull())).select(docs.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .runtime import materialise, partitions, tune
+from .runtime import fresh, materialise, partitions, tune
 
 #: a, b: the two digits; doc, tx: document id and hash of its text; lo, n: first window and count.
 RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tx", "<i4"), ("lo", "<u4"), ("n", "<u2")])
@@ -55,6 +55,10 @@ class Units:
     strict: bool
     step: int = 1
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.window < MARK:
+            raise ValueError(f"a window holds 1 to {MARK - 1} tokens, not {self.window}")
+
     def tokens(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "bytes":
             return tc.BYTE_VALUES[raw], at
@@ -371,22 +375,28 @@ def removed_mask(lists: list[bytes] | None, n: int, window: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+ADDED = ["n_tokens", "n_removed", "n_spans", "kept_sha256"]
+
+
 def remove_repeats(docs: DataFrame, unit: Units, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
     """docs with n_tokens, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left.
 
-    Every row stays. A null text is empty; a row with a null id is neither a source nor cut.
+    Every row stays. A null text is empty; a row with a null id is neither a source nor cut. Columns of docs that have
+    the name of an added one are replaced; all others pass through, whatever their names.
     """
     tune(docs.sparkSession)
-    own = docs.withColumn("__tx", F.hash(F.col(text_col)))
-    keyed = own.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col("__tx").alias("tx"), F.col(text_col).alias("text"))
-    lists = repeated_windows(keyed, unit).select(F.col("doc_id").alias("__id"), F.col("tx").alias("__t"), F.col("done").alias("__done"))
-    joined = own.join(lists, (F.col(id_col) == F.col("__id")) & (F.col("__tx") == F.col("__t")), "left").drop("__id", "__t", "__tx")
+    docs = docs.drop(*ADDED)
+    tx, found, found_tx, listed = (fresh(docs, x) for x in ("tx", "found", "found_tx", "done"))
+    own = docs.withColumn(tx, F.hash(F.col(text_col)))
+    keyed = own.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(tx).alias("tx"), F.col(text_col).alias("text"))
+    lists = repeated_windows(keyed, unit).select(F.col("doc_id").alias(found), F.col("tx").alias(found_tx), F.col("done").alias(listed))
+    joined = own.join(lists, (F.col(id_col) == F.col(found)) & (F.col(tx) == F.col(found_tx)), "left").drop(found, found_tx, tx)
     base = [c for c in docs.columns if keep_text or c != text_col]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in base] + ["n_tokens long", "n_removed long", "n_spans long", "kept_sha256 string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("__done")
+            lists = batch.column(listed)
             texts = batch.column(text_col)
             out: list[tuple] = []
             for first, last, raw, at in tc.slices(texts):
@@ -409,9 +419,9 @@ def remove_repeats(docs: DataFrame, unit: Units, id_col: str, text_col: str, kee
             cols = {c: batch.column(c) for c in base}
             if keep_text:
                 cols[text_col] = pa.array([None if t is None else x[4] for t, x in zip(texts.to_pylist(), out, strict=True)], pa.string())
-            for i, name in enumerate(("n_tokens", "n_removed", "n_spans")):
+            for i, name in enumerate(ADDED[:3]):
                 cols[name] = pa.array([x[i] for x in out], pa.int64())
-            cols["kept_sha256"] = pa.array([x[3] for x in out], pa.string())
+            cols[ADDED[3]] = pa.array([x[3] for x in out], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
     return joined.mapInArrow(run, schema)

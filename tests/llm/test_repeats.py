@@ -91,3 +91,21 @@ def test_kept_text_extra_columns_and_empty_table(spark):
     assert got[2]["text"] == "x y z" and got[3]["text"] == "keep\n\nthis" and got[2]["open"] == "clash"
     empty = spark.createDataFrame([], SCHEMA)
     assert rlz_dedup(empty).count() == 0 and suffix_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("op", [rlz_dedup, suffix_dedup])
+def test_clashing_names(spark, op):
+    text = " ".join("w%d" % i for i in range(60))
+    names = ["n_tokens", "n_removed", "n_spans", "kept_sha256", "part", "kind", "done", "__done", "__tx", "__found", "tx", "open"]
+    df = spark.createDataFrame([(1, text, *"abcdefghijkl"), (2, text + " end", *"abcdefghijkl"), (3, None, *[None] * 12)], ["doc_id", "text", *names])
+    for keep in (False, True):
+        out = op(df, keep_text=keep)
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert len(got) == 3 and sorted(out.columns) == sorted([c for c in df.columns if keep or c != "text"])
+        assert got[1]["n_removed"] == 0 and got[2]["n_removed"] > 0 and got[3]["n_tokens"] == 0
+        assert got[2]["__done"] == "h" and got[2]["part"] == "e" and got[3]["open"] is None
+
+
+def test_windows_have_a_bound(spark):
+    with pytest.raises(ValueError):
+        rlz_dedup(spark.createDataFrame([], SCHEMA), min_words=70_000)
