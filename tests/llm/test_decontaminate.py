@@ -1,6 +1,14 @@
+import random
 import re
 
-from tesselode.llm.decontaminate import CONTAIN, drop_leaks, find_leaks
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tesselode.llm import decontaminate
+from tesselode.llm import textcore as tc
+from tesselode.llm.decontaminate import CONTAIN, PART, RETRIEVE, ItemIndex, drop_leaks, find_leaks
+from tesselode.llm.terms import lowered, term_bounds
 
 WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
@@ -34,3 +42,76 @@ def test_edges(spark):
     assert got == [("1", 1), ("1", 1), ("2", 1), ("7", 4), ("None", 1)]
     assert sorted(str(r["doc_id"]) for r in drop_leaks(docs, items).collect()) == ["3", "4", "5", "6", "8", "None"]
     assert find_leaks(docs, items.where("false")).count() == 0 and find_leaks(docs.where("false"), items).count() == 0
+
+
+def random_items(r, n, words):
+    return [(i, " ".join(r.choice(words) for _ in range(r.randint(3, 30))) + ". " + " ".join(r.choice(words) for _ in range(r.randint(1, 6)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("matrix", [0, 1 << 21])
+def test_retrieval_and_rule_equal_brute_force(monkeypatch, matrix):
+    """Every passage against every item, BM25 and question and answer counted plainly."""
+    monkeypatch.setattr(decontaminate, "MATRIX", matrix)
+    r = random.Random(11)
+    words = ["w%d" % i for i in range(300)]
+    items = random_items(r, 100, words)
+    index = ItemIndex(items)
+    assert (index.matrix is None) == (matrix == 0)
+    texts = []
+    for _ in range(60):
+        t = [r.choice(words) for _ in range(r.randint(0, 200))]
+        for _ in range(r.randint(0, 3)):
+            w = r.choice(items)[1].replace(".", "").split()
+            w = [x if r.random() > 0.04 else "other" for x in w[: r.randint(1, len(w)) if r.random() < 0.5 else len(w)]]
+            p = r.randint(0, len(t))
+            t[p:p] = w
+        texts.append(" ".join(t))
+    bags = [(i, t.replace(".", "").split(), len(t.split(". ")[0].split())) for i, t in items]
+    mean, n = sum(len(w) for _, w, _ in bags) / len(bags), len(bags)
+    df = {w: sum(w in set(b) for _, b, _ in bags) for w in words}
+
+    def impact(w, bag):
+        tf = bag.count(w)
+        return np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+
+    grams = lambda x, k: {tuple(x[p : p + k]) for p in range(len(x) - k + 1)}
+    want, longest = set(), max(len(w) for _, w, _ in bags)
+    for d, t in enumerate(texts):
+        t = t.split()
+        for p in range(0, max(len(t), 1), longest):
+            passage = t[p : p + 2 * longest]
+            held = set(passage)
+            for i, bag, cut in bags:
+                score = sum(impact(w, bag) for w in set(bag) & held) / sum(impact(w, bag) for w in set(bag))
+                g = grams(bag, min(5, len(bag)))
+                q, a = (sum(w in held for w in set(x)) / len(set(x)) for x in (bag[:cut], bag[cut:]))
+                if score >= RETRIEVE and len(g & grams(passage, min(5, len(bag)))) >= CONTAIN * len(g) and q >= PART and a >= PART:
+                    want.add((d, i))
+    got = set()
+    for first, _, raw, at in tc.slices(lowered(pa.array(texts))):
+        start, end, of = term_bounds(raw, at)
+        got |= {(first + d, i) for d, i, *_ in index.leaks(tc.word_hashes(raw, start, end), of)}
+    assert len(want) > 20 and got == want
+
+
+def test_any_shard_size_gives_the_same_rows(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, find_leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
+    assert whole and sorted(map(tuple, find_leaks(docs, items).collect())) == whole
+
+
+def test_an_index_of_many_items_is_small():
+    r = random.Random(2)
+    words = ["t%d" % int(60_000 * r.random() ** 3) for _ in range(100_000)]
+    index = ItemIndex([(i, " ".join(r.choices(words, k=60))) for i in range(5000)])
+    size = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray)) + sum(x.nbytes for x in vars(index.vocabulary).values() if isinstance(x, np.ndarray))
+    assert size < 40 * len(index.flat) + (8 << 20)
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"term{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5, "x", 2), (2, "calm sea", None, None, 3)], "doc_id long, text string, item_id int, score string, __leak long")
+    left = drop_leaks(docs, spark.createDataFrame([(1, text, 0)], "item_id long, text string, doc_id long"))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "calm sea", None, None, 3)]
