@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .repeats import _batch
-from .runtime import materialise, shared_dir, tune
+from .runtime import materialise, partitions, shared_dir, tune
 
 DICT_MAGIC = 0x184D2A5D
 #: Compressed bytes after which a writer starts another archive; a record longer than that has one of its own.
 ARCHIVE_BYTES = 4 << 20
+#: Bytes a reader asks for at a time.
+READ_BYTES = 1 << 16
 #: The dictionary is trained on this many payloads, of which this many bytes count.
 SAMPLES, SAMPLE_BYTES, DICT_BYTES = 256, 8192, 32768
 WARC_DATE = "1970-01-01T00:00:00Z"
@@ -66,28 +70,6 @@ def archive_head(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary if dictionary else b""
 
 
-def frame_end(data: memoryview, at: int) -> int:
-    """Where the Zstandard frame at `at` ends, from its block headers."""
-    try:
-        params = zstandard.get_frame_parameters(data[at : at + 18])
-        pos = at + zstandard.frame_header_size(data[at : at + 18])
-    except zstandard.ZstdError as e:
-        raise WarcError(f"no frame at byte {at}: {e}") from e
-    last = False
-    while not last:
-        if pos + 3 > len(data):
-            raise WarcError("a frame is cut short")
-        h = int.from_bytes(data[pos : pos + 3], "little")
-        last, kind, size = bool(h & 1), (h >> 1) & 3, h >> 3
-        if kind == 3:
-            raise WarcError("a reserved block type")
-        pos += 3 + (1 if kind == 1 else size)
-    pos += 4 if params.has_checksum else 0
-    if pos > len(data):
-        raise WarcError("a frame is cut short")
-    return pos
-
-
 def parse(raw: bytes) -> dict:
     """A record's fields and payload, after checks of the version line, the headers and both lengths."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
@@ -127,33 +109,67 @@ def parse(raw: bytes) -> dict:
     return out
 
 
-def read_archive(content: bytes) -> Iterator[dict]:
-    """The records of an archive, one frame at a time."""
-    data, at, loaded = memoryview(content), 0, None
-    while at + 8 <= len(data) and (magic := struct.unpack_from("<I", data, at)[0]) & 0xFFFFFFF0 == 0x184D2A50:
-        size = struct.unpack_from("<I", data, at + 4)[0]
-        if at + 8 + size > len(data):
+class _Source:
+    """A file read forward in small steps."""
+
+    def __init__(self, f: BinaryIO) -> None:
+        self.f, self.held, self.at = f, b"", 0
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := self.f.read(max(n - len(self.held), READ_BYTES))):
+            self.held += more
+        return self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.held, self.at = self.held[len(out) :], self.at + len(out)
+        return out
+
+    def frame(self, reader: zstandard.ZstdDecompressor) -> bytes:
+        """What the next Zstandard frame holds."""
+        d, out, begin = reader.decompressobj(), [], self.at
+        try:
+            while not d.eof:
+                chunk = self.take(READ_BYTES)
+                if not chunk:
+                    raise WarcError(f"the frame at byte {begin} is cut short")
+                out.append(d.decompress(chunk))
+        except zstandard.ZstdError as e:
+            raise WarcError(f"the frame at byte {begin} is damaged: {e}") from e
+        self.held, self.at = d.unused_data + self.held, self.at - len(d.unused_data)
+        return b"".join(out)
+
+
+def read_stream(f: BinaryIO) -> Iterator[dict]:
+    """The records of an archive, one frame at a time; no more than a frame and a step is held."""
+    source, loaded = _Source(f), None
+    while len(head := source.peek(8)) == 8 and (magic := struct.unpack("<I", head[:4])[0]) & 0xFFFFFFF0 == 0x184D2A50:
+        first, size = source.at == 0, struct.unpack("<I", head[4:])[0]
+        source.take(8)
+        body = source.take(size)
+        if len(body) < size:
             raise WarcError("a skippable frame is cut short")
-        if magic == DICT_MAGIC and at == 0:
-            loaded = bytes(data[8 : 8 + size])
+        if magic == DICT_MAGIC and first:
+            loaded = body
             if loaded[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may itself be compressed
                 loaded = zstandard.ZstdDecompressor().decompress(loaded, max_output_size=1 << 27)
-        at += 8 + size
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(loaded) if loaded else None)
-    while at < len(data):
-        end = frame_end(data, at)
-        try:
-            raw = reader.decompressobj().decompress(data[at:end])
-        except zstandard.ZstdError as e:
-            raise WarcError(f"the frame at byte {at} is damaged: {e}") from e
-        yield parse(raw)
-        at = end
+    while source.peek(1):
+        yield parse(source.frame(reader))
+
+
+def read_archive(content: bytes) -> Iterator[dict]:
+    """The records of an archive in memory."""
+    return read_stream(io.BytesIO(content))
 
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes:
     """A dictionary from a bounded sample, the same for the same rows; empty if the rows are too few."""
     some = pages.where(F.length(html_col) > 0).select(F.xxhash64(F.col(id_col).cast("string"), F.substring(html_col, 1, 64)).alias("h"), F.substring(html_col, 1, SAMPLE_BYTES).alias("x"))
-    samples = [record(r["h"], None, r["x"].encode(), None, False) for r in some.orderBy("h", "x").limit(SAMPLES).collect()]
+    # hashes are chosen alone, so that tasks send the driver no texts but those of the sample
+    chosen = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(SAMPLES).collect()]
+    texts = some.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("x").alias("x")).collect() if chosen else []
+    samples = [record(r["h"], None, r["x"].encode(), None, False) for r in sorted(texts, key=lambda r: r["h"])]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:  # the samples are too short or too alike to train on
@@ -208,31 +224,40 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialise(joined.mapInArrow(_writer(folder, dictionary), "archive string, records long"))
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_rows(folder: str):
+    """Task over names of archives in folder, which it opens one after the other."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for content in batch.column(0):
-            out, size = [], 0
-            for r in read_archive(content.as_py()):
-                f = r["fields"]
-                refers = f.get("warc-refers-to")
-                out.append((_page(f["warc-record-id"]), f.get("warc-target-uri"), r["payload_bytes"], f.get("warc-payload-digest", "").removeprefix("sha1:"), f["warc-type"], _page(refers) if refers else None, r["payload"]))
-                size += len(r["block"])
-                if size >= 8 << 20:
-                    yield _batch(out, names, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
                     out, size = [], 0
-            yield _batch(out, names, kinds)
+                    for r in read_stream(f):
+                        x = r["fields"]
+                        refers = x.get("warc-refers-to")
+                        out.append((_page(x["warc-record-id"]), x.get("warc-target-uri"), r["payload_bytes"], x.get("warc-payload-digest", "").removeprefix("sha1:"), x["warc-type"], _page(refers) if refers else None, r["payload"]))
+                        size += len(r["block"])
+                        if size >= 8 << 20:
+                            yield _batch(out, names, kinds)
+                            out, size = [], 0
+                    yield _batch(out, names, kinds)
+
+    return run
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of all archives."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    if manifest is not None:
-        named = files.withColumn("archive", F.element_at(F.split("path", "/"), -1))
-        files = named.join(manifest.select("archive"), "archive", "left_semi")
-    return files.select("content").mapInArrow(_read_rows, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of all archives.
+
+    Those the manifest names, or all *.warc.zst files of folder. A task reads an archive frame by frame, whatever its length.
+    """
+    if manifest is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+        manifest = files.select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    rows = manifest.select("archive").repartition(partitions(spark))
+    return rows.mapInArrow(_read_rows(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

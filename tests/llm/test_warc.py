@@ -65,3 +65,43 @@ def test_dictionary_frame_and_damage():
     for old, new in ((b"WARC/1.1", b"WARC/9.9"), (b"WARC-Type", b"X-Type"), (b"Content-Length: ", b"Content-Length: 1"), (b"sha1:", b"sha1:A"), (b"page number", b"page mumber")):
         with pytest.raises(WarcError):
             parse(a.replace(old, new, 1))
+
+
+def test_the_session_keeps_its_settings_and_archives_are_found(spark, tmp_path):
+    from tesselode.llm.warc import read_archives, write_archives
+
+    before = dict(spark.conf.getAll)
+    rows = [(i, f"http://a/{i}", f"<p>page {i}</p>" * 50) for i in range(60)]
+    folder = tmp_path.as_uri()
+    manifest = write_archives(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), folder)
+    got = sorted((r["page_id"], r["payload"].decode()) for r in read_archives(spark, folder).collect())
+    assert got == [(i, h) for i, _, h in rows] == sorted((r["page_id"], r["payload"].decode()) for r in read_archives(spark, folder, manifest).collect())
+    changed = {k: v for k, v in spark.conf.getAll.items() if before.get(k) != v}
+    assert set(changed) <= {"spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"} and changed.get("spark.sql.execution.arrow.maxRecordsPerBatch") in (None, "1000")
+
+
+def test_a_reader_holds_one_frame():
+    import io
+
+    from tesselode.llm.warc import read_stream
+
+    class Counted(io.BytesIO):
+        ahead = 0
+
+        def read(self, n=-1):
+            self.ahead += (x := len(out := super().read(n)))
+            return out if x else b""
+
+    data = archive(*[record(i, "http://x", bytes([65 + i % 20]) * 10 + str(i * 7919).encode() * 40_000, None, False) for i in range(20)])
+    f, seen = Counted(data), 0
+    for r in read_stream(f):
+        assert _payload_number(r["payload"]) == seen * 7919
+        seen += 1
+        assert f.ahead <= len(data) * (seen + 1) // 20 + (2 << 16)
+    assert seen == 20
+
+
+def _payload_number(payload):
+    tail = payload[10:]
+    n = next(k for k in range(1, 12) if tail == tail[:k] * (len(tail) // k))
+    return int(tail[:n])
