@@ -12,6 +12,7 @@ range is sorted in one task and the largest row of a range also goes to the rang
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,6 +128,25 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(before[0], len(before[1]), hashlib.sha256(e.encode()).hexdigest(), before[3], f, likeness(before[3], f), 1.0)], OUT, _KINDS)
 
 
+def _placed(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """rows with the number of their range. Ranges meet rows by coarse cells of equal width, so that a row tries a few ranges, not all."""
+    if not cuts:
+        return rows.withColumn("part", F.lit(0))
+    width = max((cuts[-1] - cuts[0]) / (4 * len(cuts)), 1.0)
+    cell = lambda x: min(max(math.floor((float(x) - float(cuts[0])) / width), -1), 4 * len(cuts) + 1)
+    ends = [None, *cuts, None]
+    table = []
+    for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+        first, last = -1 if lo is None else cell(lo) - 1, 4 * len(cuts) + 1 if hi is None else cell(hi) + 1
+        table += [(c, lo, hi, len(cuts) - i) for c in range(first, last + 1)]
+    ranges = F.broadcast(rows.sparkSession.createDataFrame(table, "cell int, lo long, hi long, part int"))
+    own = F.floor((F.col("doc_id").cast("double") - F.lit(float(cuts[0]))) / F.lit(width))
+    own = F.least(F.greatest(own, F.lit(-1)), F.lit(4 * len(cuts) + 1)).cast("int")
+    inside = (F.col("lo").isNull() | (F.col("doc_id") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("doc_id") <= F.col("hi")))
+    out = rows.withColumn("own", own).join(ranges, (F.col("own") == F.col("cell")) & inside, "left")
+    return out.select(*rows.columns, F.coalesce("part", F.lit(len(cuts) + 1)).alias("part"))
+
+
 def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
@@ -139,21 +159,16 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = partitions(spark)
     cuts = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
     # range 0 holds the largest ids, the last one the null ids; a row that equals a cut goes to the smaller range
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    place = F.lit(0) if bounds is None else F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
-    rows = rows.withColumn("part", place.cast("int"))
+    rows = _placed(rows, sorted({min(max(int(c), -(1 << 63)), (1 << 63) - 1) for c in cuts}))
     order = F.struct(F.col("doc_id").isNotNull().alias("a"), "doc_id", F.xxhash64("text").alias("t"))
     # the largest row of each range, one for each of n + 1 ranges, without its text
     heads = rows.groupBy("part").agg(F.max(order).alias("h")).collect()
-    by = {r["part"]: r["h"] for r in heads}
-    filled = sorted(by)
+    filled = sorted(r["part"] for r in heads)
     above = {p: filled[i - 1] for i, p in enumerate(filled)}
-    key = lambda h: F.struct(F.lit(h["a"]).alias("a"), F.lit(h["doc_id"]).cast("long").alias("doc_id"), F.lit(h["t"]).alias("t"))
-    heads_at = F.lit(None).cast("int")
-    for p in filled:
-        heads_at = F.when((F.col("part") == p) & order.eqNullSafe(key(by[p])), F.lit(above[p])).otherwise(heads_at)
+    listed = spark.createDataFrame([(r["part"], r["h"]["doc_id"], r["h"]["t"], above[r["part"]]) for r in heads], "head_part int, head_id long, head_t long, to int")
     # copies of a head row with the same id and text are one guest
-    guests = rows.withColumn("to", heads_at).where("to is not null").dropDuplicates(["to", "doc_id", "text"])
+    met = (F.col("part") == F.col("head_part")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.xxhash64("text") == F.col("head_t"))
+    guests = rows.join(F.broadcast(listed), met).dropDuplicates(["to", "doc_id", "text"])
     total_one = len(filled) == 1 and rows.limit(2).count() == 1
     out = rows.select("part", "doc_id", "text", F.lit(False).alias("guest"))
     if filled and not total_one:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from tesselode.llm.order_minhash import edited_text, fingerprints, likeness, order_minhash
 
@@ -44,3 +45,62 @@ def test_ties_nulls_repeats_small(spark):
     twin = order_minhash(spark.createDataFrame([(1, "abc"), (1, "abc")], SCHEMA)).collect()
     assert len(twin) == 2
     assert order_minhash(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_fingerprint(text):
+    """The tuples of the method, one function and one k-mer at a time, over whatever hash gives the order."""
+    import numpy as np
+
+    from tesselode.llm import order_minhash as o
+    from tesselode.llm import textcore as tc
+
+    raw = np.frombuffer(text.encode(), np.uint8)
+    numbered = o.kmers(raw, np.array([0, len(raw)]))[0]
+    words = [w for w in re.split(rb"[ \t-\r]+", text.encode()) if w]
+    grams = [tuple(words[i : i + o.K]) for i in range(len(words) - o.K + 1)] or ([tuple(words)] if words else [])
+    seen, keys = {}, []
+    for g in grams:
+        seen[g] = seen.get(g, 0) + 1
+        keys.append((g, seen[g]))
+    # the same numbered k-mer has the same hash, others have others
+    assert len(numbered) == len(keys) and len(set(zip(keys, numbered.tolist(), strict=True))) == len(set(keys)) == len(set(numbered.tolist()))
+    out = []
+    for m in range(o.M):
+        high, low = [[int(x) >> s & 0xFFFFFFFF for x in numbered] for s in (32, 0)]
+        h = [(int(o._MUL[m]) * a + int(o._MUL2[m]) * b + int(o._ADD[m])) & 0xFFFFFFFF for a, b in zip(high, low, strict=True)]
+        least = sorted(range(len(h)), key=lambda i: (h[i], i))[: o.L]
+        out.append(tuple(keys[i] for i in sorted(least)))
+    return out
+
+
+def test_fingerprints_equal_a_plain_version():
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["a", "b", "c", "dd", "é"]) for _ in range(r.randint(0, 60))) for _ in range(40)]
+    texts += [texts[0], "a b c " * 30, "one", "one two"]
+    plain = [plain_fingerprint(t) for t in texts]
+    prints = fingerprints(texts)
+    over = []
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            if texts[i] and texts[j]:
+                want = sum(a == b for a, b in zip(plain[i], plain[j], strict=True)) / len(plain[i])
+                over.append(likeness(prints[i], prints[j]) - want)
+    # a function keeps a byte of its tuple's hash, so that 1 in 256 agree by chance and equal tuples always
+    assert min(over) > -1e-9 and max(over) < 0.08 and sum(over) / len(over) < 0.008
+
+
+def test_many_ranges_and_odd_ids(spark):
+    r = random.Random(4)
+    rows = [(r.choice([i, i * 10**9, -i * 10**15, 2**63 - 1 - i]), f"text number {i} of them") for i in range(300)] + [(None, "n"), (-(2**63), "least")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = {r["doc_id"]: r for r in order_minhash(spark.createDataFrame(rows, SCHEMA)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    uniq = {i: t for i, t in rows}
+    line = sorted(((i, t) for i, t in rows if i is not None), reverse=True) + [(None, "n")]
+    if len(uniq) == len(rows):
+        for k, (i, t) in enumerate(line):
+            e = edited_text(t, line[(k + 1) % len(line)][1])
+            assert got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest(), i
