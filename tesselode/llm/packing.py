@@ -133,17 +133,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "d
     lanes = max(64, 4 * partitions(spark))
     d = materialise(tokens.withColumn("lane", F.pmod(F.xxhash64("doc_id", "order"), F.lit(lanes))).withColumns({"n_full": F.size("full").cast("long"), "t": (F.length("tail") / 4).cast("long")}))
 
-    # a row for each lane, and one for each lane and length
-    by_lane = d.groupBy("lane").agg(F.sum("n_full").alias("f"), F.sum("t").alias("t")).orderBy("lane").collect()
-    full_at, tail_at, lane_rows = 0, 0, []
-    for r in by_lane:
-        lane_rows.append((r["lane"], full_at, tail_at))
-        full_at, tail_at = full_at + r["f"], tail_at + r["t"]
-    heads = d.where("head > 0").groupBy("head", "lane").agg(F.count("*").alias("n")).orderBy("head", "lane").collect()
-    demand, head_rows = [0] * (UNITS - 1), []
-    for r in heads:
-        head_rows.append((r["head"], r["lane"], demand[r["head"] - 1]))
-        demand[r["head"] - 1] += r["n"]
+    # a row for each lane and for each lane and length: where their ids and heads begin in the order of lanes
+    before = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    by_lane = materialise(d.groupBy("lane").agg(F.sum("n_full").alias("f"), F.sum("t").alias("t")))
+    full_at, tail_at = by_lane.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    lane_rows = by_lane.select("lane", F.coalesce(F.sum("f").over(before), F.lit(0)).alias("full_at"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("tail_at"))
+    by_head = materialise(d.where("head > 0").groupBy("head", "lane").agg(F.count("*").alias("n")))
+    head_rows = by_head.select("head", "lane", F.coalesce(F.sum("n").over(Window.partitionBy("head").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rank_at"))
+    demand = [0] * (UNITS - 1)
+    for r in by_head.groupBy("head").agg(F.sum("n").alias("n")).collect():
+        demand[r["head"] - 1] = r["n"]
 
     patterns, bins = plan(demand)
     next_seq, used, pattern_rows, slack = full_at, [0] * (UNITS - 1), [], []
@@ -188,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "d
             pos, next_seq = pos + (1 << k), next_seq + 1
 
     by_rank = Window.partitionBy("lane").orderBy("doc_id", "order").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(_inline(spark, lane_rows, "lane, full_at, tail_at", 3), "lane")
+    d = d.join(lane_rows, "lane")
     d = d.withColumn("full_seq", F.col("full_at") + F.coalesce(F.sum("n_full").over(by_rank), F.lit(0)))
     d = d.withColumn("s", F.col("tail_at") + F.coalesce(F.sum("t").over(by_rank), F.lit(0)))
     keep = ["doc_id", "doc_tokens"]
@@ -197,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "d
     full = full.select(*keep, (F.col("k") * SEQUENCE).cast("long").alias("start"), F.lit(SEQUENCE).cast("long").alias("length"), "ids_crc32", (F.col("full_seq") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     head = d.where("head > 0").withColumn("r", F.row_number().over(Window.partitionBy("lane", "head").orderBy("doc_id", "order")) - 1)
-    head = head.withColumn("head", F.col("head").cast("long")).join(_inline(spark, head_rows, "head, lane, rank_at", 3), ["head", "lane"])
+    head = head.join(head_rows, ["head", "lane"]).withColumn("head", F.col("head").cast("long"))
     head = head.withColumn("rank", F.col("rank_at") + F.col("r"))
     # patterns are disjoint ranges of ranks, at most 2 * 31 * 31 rows in all
     slots = _inline(spark, pattern_rows + left_rows, "c, rank_from, rank_to, seq, n, place", 6)
