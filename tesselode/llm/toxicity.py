@@ -270,20 +270,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     idf = (np.log((1 + own.count()) / (1 + _frequencies(own.select("text"), terms))) + 1) * np.where(marking, MARK, 1.0)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     groups = sample.mapInArrow(_example_rows(shared), "term binary, tf binary, toxic long, id long").groupBy("term", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.min("id").alias("id"))
-    # a partition at a time, as the driver is small; in order of their terms, so that numbers do not hang on the partitions
-    examples = sorted((r["term"], r["tf"], r["n"], r["t"], r["id"]) for r in groups.toLocalIterator())
-    blank = [(n, t) for k, _, n, t, _ in examples if not k]
-    examples = [x for x in examples if x[0]]
-    count, toxic = np.array([x[2] for x in examples], float), np.array([x[3] for x in examples], float)
-    ids = np.array([x[4] for x in examples], np.int64)
-    term = np.frombuffer(b"".join(x[0] for x in examples), "<i4")
-    tf = np.frombuffer(b"".join(x[1] for x in examples), "<u4")
-    example = np.repeat(np.arange(len(examples), dtype=np.min_scalar_type(len(examples))), [len(x[0]) // 4 for x in examples])
-    del examples
+    # a partition at a time into plain buffers, as the driver is small; in the order of ids, so that numbers do not hang on the partitions
+    term, tf, length, figures, blank = bytearray(), bytearray(), [], [], (0, 0)
+    for r in groups.orderBy("id", F.xxhash64("term", "tf")).toLocalIterator():
+        if r["term"]:
+            term += r["term"]
+            tf += r["tf"]
+            length.append(len(r["term"]) // 4)
+            figures.append((r["n"], r["t"], r["id"]))
+        else:
+            blank = (r["n"], r["t"])
+    term, tf = np.frombuffer(term, "<i4"), np.frombuffer(tf, "<u4")
+    tf = tf.astype(np.min_scalar_type(tf.max(initial=1)))
+    count, toxic, ids = (np.array([x[k] for x in figures], kind) for k, kind in enumerate((float, float, np.int64)))
+    example = np.repeat(np.arange(len(figures), dtype=np.min_scalar_type(len(figures))), length)
     order = np.argsort(term, kind="stable")
     at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
-    n0, t0 = blank[0] if blank else (0, 0)
-    return Model(terms, idf, at, example[order], tf.astype(np.min_scalar_type(tf.max(initial=1)))[order], count, toxic, ids, rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
+    pa.default_memory_pool().release_unused()
+    n0, t0 = blank
+    return Model(terms, idf, at, example[order], tf[order], count, toxic, ids, rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
 
 
 def _score_rows(model, text_col: str, evidence: int):
