@@ -20,8 +20,9 @@ SECRETS = [
 ]
 # A word in a line, the severity it gives, in order of precedence.
 SEVERITIES = [("FATAL", "fatal"), ("ERROR", "error"), ("WARN", "warning"), ("INFO", "info"), ("DEBUG", "debug")]
-# Words whose counts add up to a complexity.
-BRANCHES = ["if", "for", "while", "case", "and", "or"]
+# What adds to the complexity of code, each time it occurs.
+BRANCHES = ["if", "for", "while", "case", "catch"]
+BOOLEANS = r"&&|\|\|"
 
 
 def redact(text: Column) -> Column:
@@ -48,6 +49,14 @@ def template(line: Column) -> Column:
 
 
 def complexity(text: Column) -> Column:
-    """1 plus how often branching words occur."""
-    words = F.split(F.lower(text), "[^a-z]+")
-    return 1 + F.size(F.filter(words, lambda w: w.isin(BRANCHES)))
+    """1 plus how often branching words, whole and in lower case, and boolean operators occur."""
+    out = 1 + F.regexp_count(text, F.lit(BOOLEANS))
+    for w in BRANCHES:
+        out = out + F.regexp_count(text, F.lit(rf"(?<![0-9A-Za-z_]){w}(?![0-9A-Za-z_])"))
+    return out
+
+
+def risk_level(changed: Column, untested: Column, fan_in: Column, wide: Column, stale: Column) -> Column:
+    """Risk of a change from counts: functions changed, of them untested, with many callers, of wide impact, and stale notes."""
+    score = F.when(changed > 25, 2).when(changed > 0, 1).otherwise(0) + 2 * F.least(fan_in, F.lit(2)) + 2 * F.least(wide, F.lit(2)) + F.least(untested, F.lit(3)) + F.when(stale > 0, 1).otherwise(0)
+    return F.when(score >= 6, "high").when(score >= 2, "medium").otherwise("low")

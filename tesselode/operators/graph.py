@@ -38,6 +38,39 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, inbound: bool = True)
     return seen.where("distance > 0")
 
 
+#: Edge kinds along which a change spreads to what points at it.
+IMPACT_KINDS = ["CALLS", "REFERENCES", "USES", "HAS_TYPE", "IMPORTS", "DEPENDS_ON", "DATA_FLOW"]
+#: Fixed limits: depth, edges looked at for each node, nodes by default and at most, edges in all.
+MAX_DEPTH, FAN_OUT, NODES, MAX_NODES, MAX_EDGES = 64, 1024, 1000, 10_000, 100_000
+
+
+def impact(edges: DataFrame, node_id: str, depth: int, limit: int = NODES, kinds: list[str] | None = None, fan_out: int = FAN_OUT) -> DataFrame:
+    """(id, distance, via) of what a change of node_id reaches over inbound edges; via is the kind of the first edge to it by id.
+
+    Depth is held to 0..64 and limit to 1..10,000, as the feature's own bounds: of each node the first fan_out inbound
+    edges by (id, from_id) are looked at, of whatever kind, and those of the kinds followed; the nearest nodes stay,
+    ties by id. Walking ends when MAX_EDGES edges were looked at. The frontier is never longer than the limit, and is broadcast.
+    """
+    depth, limit = min(max(depth, 0), MAX_DEPTH), min(limit if limit > 0 else NODES, MAX_NODES)
+    spark = edges.sparkSession
+    first = Window.partitionBy("to_id").orderBy("id", "from_id")
+    seen, frontier, looked, found = {node_id}, [node_id], 0, []
+    for d in range(1, depth + 1):
+        if not frontier or len(found) >= limit or looked >= MAX_EDGES:
+            break
+        near = F.broadcast(spark.createDataFrame([(x,) for x in frontier], "to_id string"))
+        step = edges.join(near, "to_id", "left_semi").withColumn("r", F.row_number().over(first)).where(F.col("r") <= fan_out)
+        step = step.orderBy("to_id", "id", "from_id").limit(MAX_EDGES - looked)
+        hop = step.groupBy("from_id").agg(F.min(F.when(F.col("kind").isin(kinds or IMPACT_KINDS), F.struct("id", "kind"))).alias("x"), F.count("*").alias("n"))
+        rows = hop.collect()  # at most MAX_EDGES
+        looked += sum(r["n"] for r in rows)
+        new = sorted((r["from_id"], r["x"]["kind"]) for r in rows if r["x"] is not None and r["from_id"] not in seen)[: limit - len(found)]
+        found += [(i, d, k) for i, k in new]
+        frontier = [i for i, _ in new]
+        seen.update(frontier)
+    return spark.createDataFrame(found, "id string, distance int, via string")
+
+
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """All (src, dst) with a path of one step or more; paths double each round, so rounds grow with the log of the longest."""
     out = settle(edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct())

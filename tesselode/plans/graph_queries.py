@@ -49,17 +49,17 @@ OUT, IN = _near("out", "from_id", "to_id"), _near("in", "to_id", "from_id")
 
 @query("neighbors_out", f"WITH {GRAPH_SQL} {OUT}")
 def neighbors_out(spark, d):
-    return G.neighbors(nodes(spark, d), edges(spark, d, ["IN_REGION"]), HUB, "out")
+    return G.neighbors(nodes(spark, d), edges(spark, d), HUB, "out")
 
 
 @query("neighbors_in", f"WITH {GRAPH_SQL} {IN}")
 def neighbors_in(spark, d):
-    return G.neighbors(nodes(spark, d), edges(spark, d, ["IN_NATION"]), HUB, "in")
+    return G.neighbors(nodes(spark, d), edges(spark, d), HUB, "in")
 
 
 @query("neighbors_both", f"WITH {GRAPH_SQL} {OUT} UNION ALL {IN}")
 def neighbors_both(spark, d):
-    return G.neighbors(nodes(spark, d), edges(spark, d, ["IN_NATION", "IN_REGION"]), HUB, "both")
+    return G.neighbors(nodes(spark, d), edges(spark, d), HUB, "both")
 
 
 WALK = "WITH RECURSIVE {graph}, walk AS (SELECT '{start}' AS id, 0 AS distance UNION SELECT e.{far}, w.distance + 1 FROM walk w JOIN {edges} e ON e.{near} = w.id WHERE w.distance < {depth}), best AS (SELECT id, min(distance) AS distance FROM walk GROUP BY id)"
@@ -151,10 +151,10 @@ def resolve_data_flow(spark, d):
     return x.select(F.col("target").alias("from_id"), F.col("caller").alias("to_id")).distinct()
 
 
-@query("resolve_uses", "SELECT DISTINCT s.s_suppkey AS user_id, p.p_partkey AS type_id FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_size > 45 AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.p_partkey AND c.c_acctbal < 0)")
+@query("resolve_uses", "SELECT DISTINCT s.s_suppkey AS user_id, p.p_partkey AS type_id FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.p_partkey AND c.c_acctbal < 0)")
 def resolve_uses(spark, d):
     taken = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("p_partkey"))
-    parts = table(spark, d, "part").where("p_size > 45").join(taken, "p_partkey", "left_anti")
+    parts = table(spark, d, "part").join(taken, "p_partkey", "left_anti")
     used = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     x = used.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return x.select(F.col("s_suppkey").alias("user_id"), F.col("p_partkey").alias("type_id"))

@@ -27,17 +27,14 @@ def both(name: str, text: str) -> None:
 both("find_substring", "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE lower(p_name) LIKE '%cold%' ORDER BY id LIMIT 20")
 both("find_exact", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM {customer} WHERE c_name = 'Customer#000000042' OR c_custkey = 42")
 both("find_paged", "SELECT c_custkey AS id, c_name AS name FROM {customer} WHERE c_mktsegment = 'BUILDING' ORDER BY id LIMIT 20 OFFSET 5")
-both("signature_similar", "SELECT a.p_partkey AS id, b.p_partkey AS similar_id FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 50")
-both("signature_similar_all", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS class_id, count(*) OVER (PARTITION BY p_brand, p_size) - 1 AS n_similar FROM {part} WHERE p_brand IS NOT NULL AND p_size IS NOT NULL")
+both("signature_similar", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS class_id, count(*) OVER (PARTITION BY p_brand, p_size) - 1 AS n_similar FROM {part} WHERE p_brand IS NOT NULL AND p_size IS NOT NULL")
 both("module_summary", "SELECT n_name AS module, count(*) AS n_symbols, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS n_functions FROM {nation} JOIN {customer} ON n_nationkey = c_nationkey GROUP BY n_name")
 both("entry_points_rule", "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE lower(p_name) LIKE 'main%' OR lower(p_name) LIKE 's%' OR lower(p_name) IN ('init', 'handler', 'run') ORDER BY id LIMIT 50")
 both("related_by_name_rule", "SELECT p_partkey AS id, p_type AS type FROM {part} WHERE (p_type LIKE '%TIN' OR p_type LIKE 'PROMO%') AND p_size % 2 = 0 ORDER BY id LIMIT 50")
 both("churn", "SELECT l_partkey AS path, count(*) AS changes, round(sum(l_quantity), 2) AS added, round(sum(l_tax), 4) AS deleted FROM {lineitem} GROUP BY l_partkey ORDER BY changes DESC, path LIMIT 100")
 both("ownership", "SELECT l_suppkey AS author, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_files FROM {lineitem} GROUP BY l_suppkey")
-both("hunk_overlap", "SELECT a.l_orderkey, a.l_linenumber AS hunk, b.l_linenumber AS symbol FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5 WHERE a.l_orderkey % 10 = 0")
-both("hunk_overlap_all", "SELECT a.l_orderkey, a.l_linenumber AS hunk, b.l_linenumber AS symbol FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5")
+both("hunk_overlap", "SELECT a.l_orderkey, a.l_linenumber AS hunk, b.l_linenumber AS symbol FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5")
 both("span_innermost", "WITH c AS (SELECT a.o_orderkey AS id, b.o_orderkey AS span, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_totalprice, b.o_orderkey) AS r FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.o_totalprice >= a.o_totalprice) SELECT id, span FROM c WHERE r = 1")
-both("risk_level", "SELECT o_orderkey AS id, CASE WHEN o_totalprice > 300000 OR o_orderpriority LIKE '1%' THEN 'high' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'low' END AS risk FROM {orders}")
 both("slice_math", "SELECT l_orderkey, l_linenumber, l_linenumber + CAST(l_quantity AS BIGINT) AS slice_end, CASE WHEN l_linenumber + CAST(l_quantity AS BIGINT) <= 50 THEN 1 ELSE 0 END AS valid FROM {lineitem}")
 both("porting_status", "SELECT l_partkey AS function_id, round(least(1.0, 0.3 * sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) + 0.1 * count(*)), 4) AS progress, max(CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END) AS blocked FROM {lineitem} GROUP BY l_partkey")
 both("mismatch_summary", "SELECT l_suppkey AS function_id, count(*) AS tests, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS matches, sum(CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END) AS severe FROM {lineitem} GROUP BY l_suppkey")
@@ -74,11 +71,24 @@ def cache_key(spark, d):
     return table(spark, d, "events").select("event_id", F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256).alias("cache_key"))
 
 
-@query("loop_rule_30s", "SELECT a.event_id, count(*) AS repeats FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 6 HOUR GROUP BY a.event_id HAVING count(*) >= 2")
+LOOP = "SELECT event_id, user_id, event_type AS subject, event_id * 700000 + user_id * 1000 AS t FROM "
+
+
+@query("loop_rule_30s", f"WITH h AS ({LOOP} events) SELECT a.event_id, count(*) AS recent FROM h a JOIN h b ON a.subject = b.subject AND b.t <= a.t AND b.t > a.t - 30000000 GROUP BY a.event_id HAVING count(*) > 5")
 def loop_rule_30s(spark, d):
-    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id", "event_type").orderBy("t").rangeBetween(-6 * 3600 * 1_000_000, 0)
-    return e.select("event_id", F.count("*").over(w).alias("repeats")).where("repeats >= 2")
+    """More than five claims on a subject within the last 30 seconds."""
+    h = spark.sql(LOOP + "{events}", events=table(spark, d, "events"))
+    w = Window.partitionBy("subject").orderBy("t").rangeBetween(-29_999_999, 0)
+    return h.withColumn("recent", F.count("*").over(w)).where("recent > 5").select("event_id", "recent")
+
+
+COUNTS = "SELECT l_orderkey AS id, sum(CASE WHEN l_quantity > 10 THEN CAST(floor(l_quantity / 5) AS BIGINT) ELSE 0 END) AS changed, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS untested, sum(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END) AS fan_in, sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) AS wide, sum(CASE WHEN l_quantity < 3 THEN 1 ELSE 0 END) AS stale FROM {} GROUP BY l_orderkey"
+
+
+@query("risk_level", f"WITH c AS ({COUNTS.format('lineitem')}), s AS (SELECT id, CASE WHEN changed > 25 THEN 2 WHEN changed > 0 THEN 1 ELSE 0 END + 2 * least(fan_in, 2) + 2 * least(wide, 2) + least(untested, 3) + CASE WHEN stale > 0 THEN 1 ELSE 0 END AS score FROM c) SELECT id, CASE WHEN score >= 6 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS risk FROM s")
+def risk_level(spark, d):
+    c = spark.sql(COUNTS.format("{lineitem}"), lineitem=table(spark, d, "lineitem"))
+    return c.select("id", R.risk_level(*[F.col(x) for x in ("changed", "untested", "fan_in", "wide", "stale")]).alias("risk"))
 
 
 @query("table_schema", "SELECT 'customer' AS document_id, count(*) AS row_count, 'c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey' AS columns FROM customer")

@@ -19,9 +19,23 @@ def _stem(w: str) -> str:
     return f"CASE WHEN {n} > 4 AND {w} LIKE '%ies' THEN left({w}, length({w}) - 3) || 'y' WHEN {n} > 4 AND {w} LIKE '%es' AND NOT {w} LIKE '%ses' THEN left({w}, length({w}) - 2) WHEN {n} > 3 AND {w} LIKE '%s' AND NOT {w} LIKE '%ss' THEN left({w}, length({w}) - 1) ELSE {w} END"
 
 
+def _cut(text: str) -> str:
+    """Words apart by blanks, their parts by chr(1)."""
+    out = f"regexp_replace({text}, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')"
+    for pattern in ("(\\p{Lu})(\\p{Lu}\\p{Ll})", "(\\p{Ll})(\\p{Lu})", "(\\p{L})(\\p{Nd})", "(\\p{Nd})(\\p{L})"):
+        out = f"regexp_replace({out}, '{pattern}', '\\1' || chr(1) || '\\2', 'g')"
+    return out
+
+
+def _terms(text: str) -> str:
+    words = f"list_filter(string_split({_cut(text)}, ' '), lambda w: w <> '')"
+    return f"list_transform(flatten(list_transform({words}, lambda w: CASE WHEN contains(w, chr(1)) THEN list_concat([replace(w, chr(1), '')], string_split(w, chr(1))) ELSE [w] END)), lambda w: lower(w))"
+
+
 def _tok(source: str, key: str, fields: dict[str, float]) -> str:
-    parts = [f"SELECT {key} AS id, unnest(regexp_split_to_array(lower({f}), '[^\\p{{L}}\\p{{N}}]+')) AS w, CAST({x} AS DOUBLE) AS fw FROM {source}" for f, x in fields.items()]
-    return f"words AS ({' UNION ALL '.join(parts)}), toks AS (SELECT id, {_stem('w')} AS term, fw FROM words WHERE w <> ''), post AS (SELECT id, term, sum(fw) AS tf, count(*) AS n FROM toks GROUP BY id, term), qw AS (SELECT unnest(regexp_split_to_array(lower('{TEXT if source == 'documents' else PART_TEXT}'), '[^\\p{{L}}\\p{{N}}]+')) AS w), q AS (SELECT {_stem('w')} AS term, count(*) AS qn FROM qw WHERE w <> '' GROUP BY 1)"
+    parts = [f"SELECT {key} AS id, unnest({_terms(f)}) AS w, CAST({x} AS DOUBLE) AS fw FROM {source}" for f, x in fields.items()]
+    asked = TEXT if source == "documents" else PART_TEXT
+    return f"words AS ({' UNION ALL '.join(parts)}), toks AS (SELECT id, {_stem('w')} AS term, fw FROM words), post AS (SELECT id, term, sum(fw) AS tf, count(*) AS n FROM toks GROUP BY id, term), qw AS (SELECT unnest({_terms(repr(asked))}) AS w), q AS (SELECT {_stem('w')} AS term, count(*) AS qn FROM qw GROUP BY 1)"
 
 
 PART_TEXT = "cold steel"
@@ -36,32 +50,35 @@ def _docs(spark, d):
 
 @query("bm25_docs", f"WITH {_tok('documents', 'doc_id', {'text': 1})}, {BM25.format(source='documents')}" + TOP.format(t="bm"))
 def bm25_docs(spark, d):
-    docs = _docs(spark, d)
-    return S.top(S.bm25(docs, S.postings(docs, {"text": 1}), TEXT), 20)
+    terms = S.query_terms(spark, TEXT)
+    return S.top(S.bm25_of(S.measured(_docs(spark, d), {"text": 1}, list(terms)), list(terms)), 20)
 
 
 @query("bm25_fields", f"WITH {_tok('part', 'p_partkey', {'p_name': 3, 'p_brand': 1.5, 'p_type': 1})}, {BM25.format(source='part')}" + TOP.format(t="bm"))
 def bm25_fields(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type")
-    return S.top(S.bm25(docs, S.postings(docs, {"p_name": 3, "p_brand": 1.5, "p_type": 1}), PART_TEXT), 20)
+    terms = list(S.query_terms(spark, PART_TEXT))
+    return S.top(S.bm25_of(S.measured(docs, {"p_name": 3, "p_brand": 1.5, "p_type": 1}, terms), terms), 20)
 
 
 @query("tf_cosine_docs", f"WITH {_tok('documents', 'doc_id', {'text': 1})}, {COS}" + TOP.format(t="cs"))
 def tf_cosine_docs(spark, d):
-    return S.top(S.cosine(S.postings(_docs(spark, d), {"text": 1}), TEXT), 20)
+    terms = S.query_terms(spark, TEXT)
+    return S.top(S.cosine_of(S.measured(_docs(spark, d), {"text": 1}, list(terms)), terms), 20)
 
 
 @query("rrf_hybrid", f"WITH {_tok('documents', 'doc_id', {'text': 1})}, {BM25.format(source='documents')}, {COS}, parts AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, id)) AS p FROM bm UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, id)) FROM cs), fused AS (SELECT id, sum(p) AS score FROM parts GROUP BY id)" + TOP.format(t="fused"))
 def rrf_hybrid(spark, d):
-    docs = _docs(spark, d)
-    post = S.postings(docs, {"text": 1})
-    return S.top(S.fuse(S.bm25(docs, post, TEXT), S.cosine(post, TEXT)), 20)
+    terms = S.query_terms(spark, TEXT)
+    figures = S.measured(_docs(spark, d), {"text": 1}, list(terms))
+    return S.top(S.fuse(S.bm25_of(figures, list(terms)), S.cosine_of(figures, terms)), 20)
 
 
 @query("search_fallback", "SELECT doc_id AS id, CAST(0 AS DOUBLE) AS score FROM documents WHERE contains(lower(text), 'licensed under') ORDER BY id LIMIT 20")
 def search_fallback(spark, d):
     docs = _docs(spark, d)
-    return S.with_fallback(S.bm25(docs, S.postings(docs, {"text": 1}), "qqzzxx").select("id", "score"), docs, "text", "licensed under", 20)
+    terms = list(S.query_terms(spark, "qqzzxx"))
+    return S.with_fallback(S.bm25_of(S.measured(docs, {"text": 1}, terms), terms), docs, "text", "licensed under", 20)
 
 
 @query("vector_knn", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(e[i] AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS cosine FROM embeddings CROSS JOIN q WHERE vec_id <> 7 ORDER BY cosine DESC, vec_id LIMIT 10")
@@ -120,9 +137,13 @@ def firewall_verdict(spark, d):
     return _secret_docs(spark, d).select("doc_id", v.alias("verdict"))
 
 
-@query("complexity_count", "SELECT doc_id, 1 + length(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('if', 'for', 'while', 'case', 'and', 'or'))) AS complexity FROM documents")
+CODE = "coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' if (a && b || c) { for (;;) { while (x) {} } }' WHEN 1 THEN ' switch (y) { case 1: case 2: } try {} catch (e) {}' WHEN 2 THEN ' iffy for_each whiles and or' ELSE '' END"
+
+
+@query("complexity_count", f"SELECT doc_id, 1 + " + " + ".join(f"length(regexp_extract_all(t, '{p}'))" for p in (r"\bif\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", r"&&|\|\|")) + f" AS complexity FROM (SELECT doc_id, {CODE} AS t FROM documents)")
 def complexity_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", R.complexity(F.col("text")).cast("long").alias("complexity"))
+    code = table(spark, d, "documents").selectExpr("doc_id", f"{CODE} AS t")
+    return code.select("doc_id", R.complexity(F.col("t")).cast("long").alias("complexity"))
 
 
 @query("pseudonyms", "WITH f AS (SELECT event_type AS kind, user_id, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT kind, user_id, upper(kind) || '_' || CAST(dense_rank() OVER (PARTITION BY kind ORDER BY first) AS VARCHAR) AS pseudonym FROM f")
@@ -132,20 +153,11 @@ def pseudonyms(spark, d):
     return f.select("kind", "user_id", F.concat(F.upper("kind"), F.lit("_"), n.cast("string")).alias("pseudonym"))
 
 
-MENTION = "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents), names AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark WHERE item_id < 10)"
+MENTION = "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents), names AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark)"
 
 
 @query("mentions_link", MENTION + ", hit AS (SELECT w.doc_id, n.item_id, w.word, row_number() OVER (PARTITION BY n.item_id, w.word ORDER BY w.doc_id) AS r FROM w JOIN names n ON w.word = n.word WHERE length(w.word) > 6) SELECT doc_id, item_id, word FROM hit WHERE r <= 5")
 def mentions_link(spark, d):
-    words = lambda df, k: df.select(k, F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where(F.length("word") > 6)
-    names = words(table(spark, d, "benchmark").where("item_id < 10"), "item_id")
-    hit = words(table(spark, d, "documents"), "doc_id").join(names, "word")
-    r = F.row_number().over(Window.partitionBy("item_id", "word").orderBy("doc_id"))
-    return hit.withColumn("r", r).where("r <= 5").select("doc_id", "item_id", "word")
-
-
-@query("mentions_link_all", MENTION.removesuffix(" WHERE item_id < 10)") + ")" + ", hit AS (SELECT w.doc_id, n.item_id, w.word, row_number() OVER (PARTITION BY n.item_id, w.word ORDER BY w.doc_id) AS r FROM w JOIN names n ON w.word = n.word WHERE length(w.word) > 6) SELECT doc_id, item_id, word FROM hit WHERE r <= 5")
-def mentions_link_all(spark, d):
     words = lambda df, k: df.select(k, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") > 6).distinct()
     # a word's first documents are the same for every item, so the rank comes before the join
     r = F.row_number().over(Window.partitionBy("word").orderBy("doc_id"))
