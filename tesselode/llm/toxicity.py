@@ -185,9 +185,19 @@ class Model:
 
     @cached_property
     def matrix(self) -> Matrix:
-        weight = (1 + np.log(np.arange(1, int(self.tf.max(initial=1)) + 1)))[self.tf.astype(np.int64) - 1] * np.repeat(self.idf, np.diff(self.at))
-        norm = np.sqrt(np.bincount(self.example, weight * weight, len(self.count)))
-        return Matrix((len(self.terms), len(self.count)), self.at, self.example.astype(np.int32), (weight / norm[self.example]).astype(np.float32))
+        # some terms at a time, as a worker's memory is small
+        weight, squares = np.empty(len(self.example), np.float32), np.zeros(len(self.count))
+        scale = 1 + np.log(np.arange(1, int(self.tf.max(initial=1)) + 1))
+        cuts = [*range(0, len(self.terms), CHUNK), len(self.terms)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = slice(self.at[lo], self.at[hi])
+            x = scale[self.tf[own].astype(np.int64) - 1] * np.repeat(self.idf[lo:hi], np.diff(self.at[lo : hi + 1]))
+            squares += np.bincount(self.example[own], x * x, len(self.count))
+            weight[own] = x
+        norm = np.sqrt(squares).astype(np.float32)
+        for lo in range(0, len(weight), 1 << 20):
+            weight[lo : lo + (1 << 20)] /= norm[self.example[lo : lo + (1 << 20)]]
+        return Matrix((len(self.terms), len(self.count)), self.at, self.example.astype(np.int32), weight)
 
     @cached_property
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
@@ -281,14 +291,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         else:
             blank = (r["n"], r["t"])
     term, tf = np.frombuffer(term, "<i4"), np.frombuffer(tf, "<u4")
-    tf = tf.astype(np.min_scalar_type(tf.max(initial=1)))
     count, toxic, ids = (np.array([x[k] for x in figures], kind) for k, kind in enumerate((float, float, np.int64)))
-    example = np.repeat(np.arange(len(figures), dtype=np.min_scalar_type(len(figures))), length)
-    order = np.argsort(term, kind="stable")
     at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
+    # an example's postings go behind those of the examples before it
+    free = at[:-1].copy()
+    example = np.empty(len(term), np.min_scalar_type(len(figures)))
+    often = np.empty(len(term), np.min_scalar_type(tf.max(initial=1)))
+    begin = 0
+    for e, n in enumerate(length):
+        own = term[begin : begin + n]
+        example[free[own]], often[free[own]] = e, tf[begin : begin + n]
+        free[own] += 1
+        begin += n
+    del term, tf, free
     pa.default_memory_pool().release_unused()
     n0, t0 = blank
-    return Model(terms, idf, at, example[order], tf[order], count, toxic, ids, rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
+    return Model(terms, idf, at, example, often, count, toxic, ids, rate, (t0 + PRIOR * rate) / (n0 + PRIOR))
 
 
 def _score_rows(model, text_col: str, evidence: int):
