@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir, the folder that driver and executors share; only a local master may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(folder or LOCAL).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:

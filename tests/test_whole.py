@@ -8,13 +8,13 @@ def rows(spark, sf, name):
 
 
 def test_hunk_overlap_over_all_orders(spark, sf):
-    every = rows(spark, sf, "hunk_overlap_all")
+    every = rows(spark, sf, "hunk_overlap")
     assert {r for r in every if r[0] % 10 == 0} == rows(spark, sf, "hunk_overlap")
     assert {r[0] % 10 for r in every} == set(range(10))
 
 
 def test_signature_classes_hold_all_pairs(spark, sf):
-    members = rows(spark, sf, "signature_similar_all")
+    members = rows(spark, sf, "signature_similar")
     assert len(members) == spark.read.parquet(f"{sf}/part.parquet").count()
     pairs = {(i, j) for i, c, _ in members for j, d, _ in members if c == d and i != j}
     assert {p for p in pairs if p[0] <= 50} == rows(spark, sf, "signature_similar")
@@ -22,6 +22,6 @@ def test_signature_classes_hold_all_pairs(spark, sf):
 
 
 def test_mentions_of_all_items(spark, sf):
-    every = rows(spark, sf, "mentions_link_all")
+    every = rows(spark, sf, "mentions_link")
     assert {r for r in every if r[1] < 10} == rows(spark, sf, "mentions_link")
     assert max(r[1] for r in every) >= 10
