@@ -96,18 +96,21 @@ def did_you_mean(spark, d):
     return x.where("4 * distance <= 24").orderBy("distance", "suggestion").limit(3)
 
 
-SECRET_TEXT = "CASE WHEN doc_id % 5 = 0 THEN text || ' password=hunter' || CAST(doc_id AS VARCHAR) WHEN doc_id % 7 = 0 THEN text || ' AKIA' || lpad(CAST(doc_id AS VARCHAR), 16, '0') WHEN doc_id % 11 = 0 THEN text || ' pg://u:p@h/db' ELSE text END"
+_ID = "CAST(doc_id AS VARCHAR(20))"
+SECRET_TEXT = f"CASE doc_id % 9 WHEN 0 THEN text || ' API-Key: ABCD1234efgh5678' || {_ID} WHEN 1 THEN text || ' password = hunter2hunter' || {_ID} WHEN 2 THEN text || ' token=abcdefgh.12345678-' || {_ID} WHEN 3 THEN text || ' -----BEGIN RSA PRIVATE KEY-----' WHEN 4 THEN text || ' aws_secret_access_key=' || repeat('A1b2', 10) WHEN 5 THEN text || ' postgres://u:p@h/db' || {_ID} WHEN 6 THEN text || ' eyJabcdefghij.klmnopqrst.uvwxyz1234' || {_ID} WHEN 7 THEN text || ' ghp_' || repeat('a1B2', 6) || {_ID} ELSE text END"
 
 
 def _secret_docs(spark, d):
-    key = F.col("doc_id").cast("string")
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" password=hunter"), key)).when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" AKIA"), F.lpad(key, 16, "0"))).when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" pg://u:p@h/db"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", text.alias("t"))
+    return table(spark, d, "documents").selectExpr("doc_id", f"{SECRET_TEXT} AS t")
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
 
 def _redacted(x: str) -> str:
-    for _, p, to in R.SECRETS:
-        x = f"regexp_replace({x}, '{p}', '{to}', 'g')"
+    for kind, p in R.SECRET_PATTERNS:
+        x = f"regexp_replace({x}, {_quoted(p)}, '{chr(92) + '1' if kind in R.KEYED else ''}{R.MARK}', 'g')"
     return x
 
 
@@ -117,21 +120,12 @@ def redact_secrets(spark, d):
     return _secret_docs(spark, d).select("doc_id", F.length(r).cast("long").alias("n_chars"), F.md5(r.cast("binary")).alias("digest"))
 
 
-@query("security_scan", "WITH s AS (SELECT doc_id, " + SECRET_TEXT + " AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, length(split_part(t, regexp_extract(t, '{p}'), 1)) - length(replace(split_part(t, regexp_extract(t, '{p}'), 1), chr(10), '')) + 1 AS line FROM s WHERE regexp_matches(t, '{p}')" for k, p, _ in R.SECRETS))
+@query("security_scan", "WITH s AS (SELECT doc_id, " + SECRET_TEXT + " AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, length(split_part(t, regexp_extract(t, {_quoted(p)}), 1)) - length(replace(split_part(t, regexp_extract(t, {_quoted(p)}), 1), chr(10), '')) + 1 AS line FROM s WHERE regexp_matches(t, {_quoted(p)})" for k, p in R.SECRET_PATTERNS))
 def security_scan(spark, d):
-    s = _secret_docs(spark, d)
-    out = None
-    for k, p, _ in R.SECRETS:
-        hit = F.regexp_extract("t", p, 0)
-        before = F.substring_index(F.col("t"), "\0", 1)
-        before = F.expr(f"split_part(t, regexp_extract(t, r'{p}', 0), 1)")
-        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-        part = s.where(F.col("t").rlike(p)).where(hit != "").select("doc_id", F.lit(k).alias("rule"), line.cast("long").alias("line"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _secret_docs(spark, d).select("doc_id", F.explode(R.secret_hits(F.col("t"))).alias("hit")).select("doc_id", "hit.rule", "hit.line")
 
 
-@query("firewall_verdict", f"WITH s AS (SELECT doc_id, {SECRET_TEXT} AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'local_only' WHEN " + " OR ".join(f"regexp_matches(t, '{p}')" for _, p, _ in R.SECRETS) + " THEN 'blocked_secret' WHEN contains(t, 'clown') THEN 'blocked_identifier' WHEN length(t) > 5000 THEN 'capped' ELSE 'allowed' END AS verdict FROM s")
+@query("firewall_verdict", f"WITH s AS (SELECT doc_id, {SECRET_TEXT} AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'local_only' WHEN " + " OR ".join(f"regexp_matches(t, {_quoted(p)})" for _, p in R.SECRET_PATTERNS) + " THEN 'blocked_secret' WHEN contains(t, 'clown') THEN 'blocked_identifier' WHEN length(t) > 5000 THEN 'capped' ELSE 'allowed' END AS verdict FROM s")
 def firewall_verdict(spark, d):
     v = F.when(F.col("doc_id") % 13 == 0, "local_only").when(R.secret_kinds(F.col("t")) != "", "blocked_secret").when(F.col("t").contains("clown"), "blocked_identifier").when(F.length("t") > 5000, "capped").otherwise("allowed")
     return _secret_docs(spark, d).select("doc_id", v.alias("verdict"))
