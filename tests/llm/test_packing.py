@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tesselode.llm import bpe
-from tesselode.llm.packing import UNITS, cutting_stock, pack, plan
+from tesselode.llm.packing import SEQUENCE, UNIT, UNITS, cutting_stock, fillers, pack, plan
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lane string"
@@ -64,6 +64,21 @@ def test_cutting_stock_is_near_the_volume_bound():
         assert all(sum(b) <= UNITS for b in bins) and len(bins) < 60
 
 
+def test_fillers_are_few_and_fill_every_gap():
+    r = random.Random(6)
+    for longest in (40, 700, 2047):
+        sizes = [[r.randint(1, longest) for _ in range(r.randint(0, 30))] for _ in range(40)]
+        counts = np.array([np.bincount([-(-x // UNIT) for x in g], minlength=UNITS + 1)[1:] for g in sizes])
+        ids = np.array([sum(g) for g in sizes])
+
+        def missing(k):
+            patterns, bins = plan(counts[k:].sum(axis=0))
+            return SEQUENCE * (sum(u for u, _ in patterns) + len(bins)) - ids[k:].sum() - ids[:k].sum()
+
+        k = fillers(counts, ids)
+        assert missing(k) <= 0 and (k == 0 or missing(k - 1) > 0)
+
+
 def check(rows, got, tokenizer):
     ids = Counter()
     for i, t, _ in rows:
@@ -96,6 +111,13 @@ def test_documents(spark, tokenizer):
     assert check([tuple(r) for r in docs.collect()], pack(docs, PATH).collect(), tokenizer) < 0.001
 
 
+def test_documents_of_one_sequence_stay_whole_beside_longer_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = Counter((g["doc_id"], g["doc_tokens"]) for g in pack(docs, PATH).collect())
+    cut = [k for k, n in pieces.items() if n > 1 and k[1] <= SEQUENCE]
+    assert len(pieces) == docs.count() and len(cut) <= 2
+
+
 def test_patterns_with_gaps_are_filled(spark, tokenizer):
     rows = [(i, "a b c d e f g h " * 130 + "x " * (i % 60), None) for i in range(40)] + [(100 + i, "t " * (i % 63), None) for i in range(400)]
     assert check(rows, pack(spark.createDataFrame(rows, SCHEMA), PATH).collect(), tokenizer) < 0.6
