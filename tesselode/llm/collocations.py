@@ -32,9 +32,9 @@ CHUNK = 1 << 20
 #: Sums a mapper holds before it sends them.
 PENDING = 1 << 18
 #: Word occurrences for each block.
-BLOCK = 1 << 21
-#: Bits of a filter: 16 for each key, at most 16 MB; a fuller one lets more candidates through and loses none.
-FILTER_BITS, FILTER_MOST = 16, 27
+BLOCK = 1 << 19
+#: Bits of a filter: 16 for each key, at most 16 MB, of which a key sets PROBES; a fuller one lets more candidates through and loses none.
+FILTER_BITS, FILTER_MOST, PROBES = 16, 27, 4
 #: Parts of the sort of a language's phrases.
 LANES = 64
 
@@ -137,14 +137,28 @@ class Words:
             out &= self.joined[j : j + len(out)]
         return out
 
-    def parts(self, k: int, i: np.ndarray) -> list[np.ndarray]:
-        """Keys of parts_of(k) of the phrases at i."""
-        return [self.key(2)[i + 1] if p == "mid" else self.key(j := int(p[1]))[i if p[0] == "p" else i + k - j] for p in parts_of(k)]
+
+def key_of(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Keys of phrases given as rows of word hashes, with the hash of each one's language: as Words.key has them."""
+    key = tc.mix(words[0] ^ langs)
+    for w in words[1:]:
+        key = tc.mix(key * np.uint64(_STEP) + w)
+    return key
+
+
+def _probe(keys: np.ndarray, j: int, size: int) -> np.ndarray:
+    """Place of a key's bit j among size, a power of two."""
+    return (keys + (keys >> np.uint64(32) | np.uint64(1)) * np.uint64(j)) & np.uint64(size - 1)
 
 
 def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+    at = np.arange(len(keys))
+    for j in range(PROBES):
+        bit = _probe(keys[at], j, len(bits) * 8)
+        at = at[(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0]
+    out = np.zeros(len(keys), bool)
+    out[at] = True
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
@@ -174,7 +188,7 @@ def _candidates(words: Words, k: int, bits: np.ndarray | None) -> np.ndarray:
 
 
 class _Sums:
-    """Counts by key that a mapper has pending, with the language and the parts of each key."""
+    """Counts by key that a mapper has pending, with the language and the words of each key."""
 
     def __init__(self, k: int, blocks: int) -> None:
         self.k, self.blocks, self.names, self.held, self.size = k, blocks, {}, [], 0
@@ -183,28 +197,35 @@ class _Sums:
         keys, first, n = np.unique(words.key(self.k)[i], return_index=True, return_counts=True)
         code = np.array([self.names.setdefault(x, len(self.names)) for x in langs], np.int64)
         at = i[first]
-        self.held.append(np.vstack([keys.view(np.int64), n, code[words.doc[at]], *[p.view(np.int64) for p in words.parts(self.k, at)]]))
+        self.held.append(np.vstack([keys, n.view(np.uint64), code[words.doc[at]].view(np.uint64), *[words.hash[at + j] for j in range(self.k)]]))
         self.size += len(keys)
 
-    def merge(self) -> None:
-        rows = np.hstack(self.held) if self.held else np.zeros((3 + len(parts_of(self.k)), 0), np.int64)
-        keys, first, back = np.unique(rows[0].view(np.uint64), return_index=True, return_inverse=True)
-        rows, n = rows[:, first], np.bincount(back, weights=rows[1], minlength=len(keys)).astype(np.int64)
-        rows[1] = n
+    def merge(self) -> np.ndarray:
+        rows = np.hstack(self.held)
+        keys, first, back = np.unique(rows[0], return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=rows[1], minlength=len(keys))
+        rows = rows[:, first]
+        rows[1] = n.astype(np.uint64)
         self.held, self.size = [rows], len(keys)
+        return rows
 
     def packed(self) -> pa.RecordBatch:
-        """A row for each block that has keys."""
-        self.merge()
-        rows = self.held[0]
-        block = (tc.mix(rows[0].view(np.uint64)) % np.uint64(self.blocks)).astype(np.int64)
+        """A row for each block that has keys; a key is not sent, as its words give it."""
+        rows = self.merge()
+        block = (tc.mix(rows[0]) % np.uint64(self.blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         rows, block = rows[:, order], block[order]
         edges = np.flatnonzero(np.diff(block, prepend=-1))
         langs, cuts = list(self.names), np.append(edges, len(block)).tolist()
-        data = [np.ascontiguousarray(rows[:, a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        cols = [[rows[1, a:b].tobytes() for a, b in spans], [rows[2, a:b].astype(np.uint16).tobytes() for a, b in spans], [rows[3:, a:b].tobytes() for a, b in spans]]
         self.names, self.held, self.size = {}, [], 0
-        return pa.RecordBatch.from_arrays([pa.array(block[edges], pa.int64()), pa.array([langs] * len(data), pa.list_(pa.string())), pa.array(data, pa.binary())], names=["block", "langs", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(block[edges], pa.int64()), pa.array([langs] * len(spans), pa.list_(pa.string())), *[pa.array(x, pa.binary()) for x in cols]], names=_SENT)
+
+
+_SENT = ["block", "langs", "n", "lang", "words"]
+#: Languages a mapper names by numbers of 16 bits before it sends what it has.
+_LANGS_MOST = 1 << 15
 
 
 def _mapper(k: int, blocks: int, filter_of: Callable[[], np.ndarray | None]):
@@ -215,8 +236,8 @@ def _mapper(k: int, blocks: int, filter_of: Callable[[], np.ndarray | None]):
                 sums.add(words, i, langs)
             if sums.size > 2 * PENDING:
                 sums.merge()
-                if sums.size > PENDING:
-                    yield sums.packed()
+            if sums.size > PENDING and len(sums.held) == 1 or len(sums.names) > _LANGS_MOST:
+                yield sums.packed()
         if sums.size:
             yield sums.packed()
 
@@ -230,24 +251,28 @@ def _counter(k: int, least: int):
     """Counts a block. Rows: its phrases of `least` occurrences or more; for words also one without key for all of a language."""
 
     def run(table: pa.Table) -> pa.Table:
-        width = 3 + len(parts_of(k))
-        sent = [np.frombuffer(x, np.int64).reshape(width, -1) for x in table.column("data").to_pylist()]
-        langs = table.column("langs").to_pylist()
-        slots_of = PerfectHash(np.unique(np.concatenate([x[0] for x in sent]).view(np.uint64)))
+        named = table.column("langs").to_pylist()
+        names = sorted({n for own in named for n in own})
+        place = {n: i for i, n in enumerate(names)}
+        code = np.concatenate([np.array([place[n] for n in own], np.int64)[np.frombuffer(x, np.uint16)] for own, x in zip(named, table.column("lang").to_pylist(), strict=True)])
+        sent = [np.frombuffer(x, np.uint64) for x in table.column("n").to_pylist()]
+        words = np.hstack([np.frombuffer(x, np.uint64).reshape(k, -1) for x in table.column("words").to_pylist()])
+        keys = key_of(words, np.array(_language_hashes(names), np.uint64)[code])
+        slots_of = PerfectHash(np.unique(keys))
         m = len(slots_of.stored)
         counts, where, at = np.zeros(m, np.int64), np.zeros(m, np.int64), 0
-        for x in sent:
-            slot = slots_of.slots(x[0].view(np.uint64))
-            counts += np.bincount(slot, weights=x[1], minlength=m).astype(np.int64)
-            where[slot] = np.arange(at, at + x.shape[1])
-            at += x.shape[1]
-        rows = np.hstack(sent)
-        names = sorted({n for own in langs for n in own})
-        code = np.concatenate([np.array([names.index(n) for n in own], np.int64)[x[2]] for own, x in zip(langs, sent, strict=True)])
-        often = np.flatnonzero(counts >= least)
-        rows, code_of = rows[:, where[often]], code[where[often]]
-        cols = {"k": np.full(len(often), k, np.int32), "lang": np.array(names, object)[code_of], "key": rows[0], "n": counts[often]}
-        cols |= {p: rows[3 + i] for i, p in enumerate(parts_of(k))}
+        for n in sent:
+            slot = slots_of.slots(keys[at : at + len(n)])
+            counts += np.bincount(slot, weights=n, minlength=m).astype(np.int64)
+            where[slot] = np.arange(at, at + len(n))
+            at += len(n)
+        often = where[counts >= least]
+        words, code_of = words[:, often], code[often]
+        langs = np.array(_language_hashes(names), np.uint64)[code_of]
+        cols = {"k": np.full(len(often), k, np.int32), "lang": np.array(names, object)[code_of], "key": slots_of.stored[counts >= least].view(np.int64), "n": counts[counts >= least]}
+        for p in parts_of(k):
+            part = words[1:3] if p == "mid" else words[: int(p[1])] if p[0] == "p" else words[k - int(p[1]) :]
+            cols[p] = key_of(part, langs).view(np.int64)
         out = pa.table([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(often), f.type) for f in _FOUND], schema=_FOUND)
         if k > 1:
             return out
@@ -268,12 +293,13 @@ def _filter(keys: DataFrame) -> Callable[[], np.ndarray]:
     size = min(max(int(n * FILTER_BITS).bit_length(), 18), FILTER_MOST)
 
     def fill(table: pa.Table) -> pa.Table:
-        at = table.column("key").to_numpy().view(np.uint64) & np.uint64((1 << 18) - 1)
         bits = np.zeros(1 << 18, np.uint8)
-        bits[at.astype(np.int64)] = 1
+        bits[table.column("place").to_numpy() & ((1 << 18) - 1)] = 1
         return pa.table([table.column("block").slice(0, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
-    parts = keys.selectExpr(f"(key & {(1 << size) - 1}L) >> 18 AS block", "key").groupBy("block").applyInArrow(fill, "block long, bits binary").collect()
+    places = [f"((key & {(1 << size) - 1}L) + (shiftrightunsigned(key, 32) | 1L) * {j}L) & {(1 << size) - 1}L" for j in range(PROBES)]
+    placed = keys.select(F.explode(F.array(*[F.expr(p) for p in places])).alias("place")).withColumn("block", F.expr("place >> 18"))
+    parts = placed.groupBy("block").applyInArrow(fill, "block long, bits binary").collect()
     whole = np.zeros((1 << size) // 8, np.uint8)
     for r in parts:
         whole[r.block << 15 : (r.block + 1) << 15] = np.frombuffer(r.bits, np.uint8)
@@ -282,7 +308,9 @@ def _filter(keys: DataFrame) -> Callable[[], np.ndarray]:
 
 
 def _level(docs: DataFrame, k: int, blocks: int, least: int, filter_of: Callable[[], np.ndarray | None]) -> DataFrame:
-    sent = docs.mapInArrow(_mapper(k, blocks, filter_of), "block long, langs array<string>, data binary")
+    sent = docs.mapInArrow(_mapper(k, blocks, filter_of), "block long, langs array<string>, n binary, lang binary, words binary")
+    if blocks > partitions(docs.sparkSession):
+        sent = sent.repartition(blocks, "block")
     return materialise(sent.groupBy("block").applyInArrow(_counter(k, least), _FOUND_SQL))
 
 
