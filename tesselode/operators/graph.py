@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,25 +103,158 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int) ->
     return hit
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component, size) of nodes on cycles; component is its least id."""
-    paths = closure(edges)
-    mutual = paths.alias("x").join(paths.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src")))
-    own = mutual.groupBy(F.col("x.src").alias("id")).agg(F.min("x.dst").alias("component"), F.count("*").alias("size"))
-    return own.where("size > 1")
+#: Edges of a rest that one task finishes; above it the rounds go on over the cluster.
+SMALL = 200_000
 
 
-def layers(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, level) of an acyclic graph: the longest chain below a node; sinks are 0."""
-    ids = edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id"))).distinct()
-    level = settle(ids.withColumn("level", F.lit(0)))
-    for _ in range(rounds):
-        up = edges.join(level, edges["to_id"] == level["id"]).groupBy(F.col("from_id").alias("id")).agg((F.max("level") + 1).alias("up"))
-        new = settle(level.join(up, "id", "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).cast("int").alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved")))
-        level, moved = new.select("id", "level"), new.where("moved").take(1)
-        if not moved:
-            return level
-    raise RuntimeError("the graph has a cycle")
+def _ids(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id"))).distinct()
+
+
+def _in_one_task(rest: DataFrame, solve: Callable[[list[str], list[tuple[int, int]]], list], kind: str) -> DataFrame:
+    """(id, value) of solve(ids, edges as positions) over a rest that was counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[str, int] = {}
+        pairs = [(at.setdefault(a, len(at)), at.setdefault(b, len(at))) for batch in batches for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        names = list(at)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(solve(names, pairs), pa.string() if kind == "string" else pa.int32())], names=["id", "value"])
+
+    return rest.coalesce(1).mapInArrow(run, f"id string, value {kind}")
+
+
+def _successors(n: int, pairs: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in range(n)]
+    for a, b in pairs:
+        out[a].append(b)
+    return out
+
+
+def _least_of_cycle(names: list[str], pairs: list[tuple[int, int]]) -> list[str]:
+    """The least name of each one's strong component, by an order of finishing times and a walk against the edges."""
+    n = len(names)
+    ahead, back = _successors(n, pairs), _successors(n, [(b, a) for a, b in pairs])
+    seen, order = [False] * n, []
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root], stack = True, [(root, iter(ahead[root]))]
+        while stack:
+            node, left = stack[-1]
+            following = next((x for x in left if not seen[x]), None)
+            if following is None:
+                order.append(node)
+                stack.pop()
+            else:
+                seen[following] = True
+                stack.append((following, iter(ahead[following])))
+    out: list[str | None] = [None] * n
+    for root in reversed(order):
+        if out[root] is None:
+            group, todo, out[root] = [root], [root], ""
+            while todo:
+                for x in back[todo.pop()]:
+                    if out[x] is None:
+                        out[x] = ""
+                        group.append(x)
+                        todo.append(x)
+            least = min(names[x] for x in group)
+            for x in group:
+                out[x] = least
+    return out
+
+
+def _chain_below(names: list[str], pairs: list[tuple[int, int]]) -> list[int]:
+    """Longest chain below each node of an acyclic rest."""
+    n = len(names)
+    ahead, back = _successors(n, pairs), _successors(n, [(b, a) for a, b in pairs])
+    left, out = [len(x) for x in ahead], [0] * n
+    todo = [i for i in range(n) if not left[i]]
+    while todo:
+        node = todo.pop()
+        for x in back[node]:
+            out[x] = max(out[x], out[node] + 1)
+            left[x] -= 1
+            if not left[x]:
+                todo.append(x)
+    if any(left):
+        raise ValueError("the graph has a cycle")
+    return out
+
+
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label): the least label that reaches each node along edges, in as many rounds as the longest way of a label."""
+    while True:
+        told = edges.join(labels, edges["from_id"] == labels["id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("label").alias("told"))
+        new = settle(labels.join(told, "id", "left").select("id", F.least("label", F.coalesce("told", "label")).alias("label"), (F.col("told") < F.col("label")).alias("moved")))
+        labels = new.select("id", "label")
+        if not new.where("moved").take(1):
+            return labels
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, component) of every node on an edge: the least id of its strong component, its own if it is on no cycle.
+
+    Rounds over the cluster: nodes without edges in or out are on no cycle and go; the least id that reaches a node
+    colours it; what reaches the colour's own node within the colour is its component and goes, and so do edges
+    between colours. A rest of `small` edges or fewer is finished by one task. Repeated edges and loops change nothing; null ends are left out.
+    """
+    edges = settle(edges.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct())
+    found, rest = [], edges.where("from_id <> to_id")
+    while (n := rest.count()) > small:
+        core = settle(rest.join(rest.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(rest.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id"))
+        if core.count() < n:
+            rest = core
+            continue
+        colour = _spread(_ids(rest).withColumn("label", F.col("id")), rest)
+        tint = lambda df, end: df.join(colour.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end)
+        within = settle(tint(tint(rest, "from_id"), "to_id").where("from_id_label = to_id_label").select("from_id", "to_id", F.col("from_id_label").alias("label")))
+        # against the edges, from each colour's own node; all others start from a label above every id
+        turned = within.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+        start = colour.select("id", F.when(F.col("id") == F.col("label"), F.lit(0)).otherwise(1).alias("label"))
+        own = _spread(start, turned).where("label = 0").select("id")
+        got = settle(own.join(colour, "id").select("id", F.col("label").alias("component")))
+        found.append(got)
+        gone = got.select("id")
+        rest = settle(within.select("from_id", "to_id").join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
+    if n:
+        found.append(_in_one_task(rest, _least_of_cycle, "string").withColumnRenamed("value", "component"))
+    if not found:
+        return _ids(edges).select("id", F.col("id").alias("component"))
+    return settle(_ids(edges).join(union_all(found), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, component, size) of nodes on cycles of two nodes or more; component is its least id."""
+    of = components(edges, small)
+    size = of.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return of.join(size, "component").select("id", "component", "size")
+
+
+def condensed(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """Edges between the components of(id, component), each once: an acyclic graph."""
+    a, b = (of.select(F.col("id").alias(end), F.col("component").alias(name)) for end, name in (("from_id", "a"), ("to_id", "b")))
+    return edges.select("from_id", "to_id").join(a, "from_id").join(b, "to_id").where("a <> b").select(F.col("a").alias("from_id"), F.col("b").alias("to_id")).distinct()
+
+
+def layers(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, component, level): the longest chain of components below a node's own; sinks are 0, a cycle is one step.
+
+    Each round takes away the nodes without edges out: what goes in round k has level k. The rest shrinks until one task can finish it.
+    """
+    of = components(edges, small)
+    rest = settle(condensed(edges, of))
+    left, done, k = of.select(F.col("component").alias("id")).distinct(), [], 0
+    while rest.count() > small:
+        sinks = settle(left.join(rest.select(F.col("from_id").alias("id")).distinct(), "id", "left_anti"))
+        done.append(sinks.select("id", F.lit(k).alias("level")))
+        left = settle(left.join(sinks, "id", "left_anti"))
+        rest = settle(rest.join(sinks.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
+        k += 1
+    last = _in_one_task(rest, _chain_below, "int")
+    done.append(left.join(last, "id", "left").select("id", (F.coalesce("value", F.lit(0)) + k).cast("int").alias("level")))
+    level = union_all(done).withColumnRenamed("id", "component")
+    return of.join(level, "component").select("id", "component", "level")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:

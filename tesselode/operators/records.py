@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselode.operators.graph import union_all
+from tesselode.operators.store import entries, joined
 
 # The roles an agent may have.
 ROLES = ["project_manager", "tech_lead", "frontend_dev", "backend_dev", "ux_designer", "qa_engineer", "devops_engineer", "researcher"]
@@ -89,7 +90,7 @@ RECORDS = {
 
 def record_id(kind: str, identity: tuple[str, ...]) -> Column:
     """The hash of kind and identity; a missing value counts as empty."""
-    return F.sha2(F.concat_ws("|", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]), 256)
+    return F.sha2(joined(F.lit(kind), *[F.col(c) for c in identity]), 256)
 
 
 def _map(pairs: list[Column]) -> Column:
@@ -129,7 +130,8 @@ def record(op: str, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         parts.append(own)
     spark = rows.sparkSession
     edges = union_all(parts) if parts else spark.createDataFrame([], "kind string, from_id string, to_id string, props map<string,string>")
-    edges = edges.withColumn("id", F.sha2(F.concat_ws("|", "kind", "from_id", "to_id"), 256)).select("id", "kind", "from_id", "to_id", "props")
+    told = F.transform(entries(F.col("props")), lambda e: joined(e["key"], e["value"]))
+    edges = edges.withColumn("id", F.sha2(joined(F.col("kind"), F.col("from_id"), F.col("to_id"), F.array_join(told, "")), 256)).select("id", "kind", "from_id", "to_id", "props")
     return (log if spec.kind else log.where("false")), edges, judged.where("why IS NOT NULL")
 
 

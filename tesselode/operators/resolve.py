@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselode.operators.store import joined
+
 # Confidence by how a target was found, and the most targets of an ambiguous name.
 SAME_FILE, UNIQUE, AMBIGUOUS, MOST, OWNER_MISSED = 0.9, 0.8, 0.5, 3, 0.8
 # Endings of one group; an ending that no group names is its own.
@@ -21,18 +23,25 @@ def language_group(path: Column) -> Column:
     return out
 
 
-def compatible(a: Column, b: Column) -> Column:
-    return (a == b) | ((a == "asm") & b.isin(ASM_LINKABLE)) | ((b == "asm") & a.isin(ASM_LINKABLE))
+def _reachable(grp: Column) -> Column:
+    """The groups whose names a group may mean."""
+    linked = F.array(*[F.lit(g) for g in ASM_LINKABLE])
+    return F.when(grp == "asm", F.concat(F.array(grp), linked)).when(grp.isin(ASM_LINKABLE), F.array(grp, F.lit("asm"))).otherwise(F.array(grp))
 
 
 def _picked(wanted: DataFrame, targets: DataFrame) -> DataFrame:
-    """wanted(caller, call, path, grp, name) joined to targets(name, target, t_path, t_grp): those in the same file, else one alone, else up to MOST."""
-    found = wanted.join(targets, "name").where(compatible(F.col("grp"), F.col("t_grp")))
-    by = Window.partitionBy("caller", "call")
-    found = found.withColumn("near", F.col("path") == F.col("t_path")).withColumns({"n": F.count("*").over(by), "n_near": F.sum(F.col("near").cast("int")).over(by)})
-    kept = found.where("near or (n_near = 0 and n <= %d)" % MOST)
-    score = F.when(F.col("near"), SAME_FILE).when(F.col("n") == 1, UNIQUE).otherwise(AMBIGUOUS)
-    return kept.select("caller", "call", "target", score.alias("confidence"))
+    """wanted(caller, call, path, grp, name) joined to targets(name, target, t_path, t_grp): those in the same file, else one alone, else up to MOST.
+
+    Names meet by name and file first. Where that finds nothing, they meet a summary of one row for each name and
+    group, with its count and its first MOST + 1 holders: a name that thousands hold is one row.
+    """
+    near = wanted.join(targets.select("name", "target", F.col("t_path").alias("path")), ["name", "path"]).select("caller", "call", "target", F.lit(SAME_FILE).alias("confidence"))
+    first = F.row_number().over(Window.partitionBy("name", "t_grp").orderBy("target"))
+    few = targets.withColumn("r", first).where(F.col("r") <= MOST + 1).groupBy("name", F.col("t_grp").alias("reach")).agg(F.count("*").alias("n"), F.collect_list("target").alias("targets"))
+    rest = wanted.join(near.select("caller", "call").distinct(), ["caller", "call"], "left_anti").withColumn("reach", F.explode(_reachable(F.col("grp"))))
+    met = rest.join(few, ["name", "reach"]).groupBy("caller", "call").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("targets")).alias("targets")).where(F.col("n") <= MOST)
+    far = met.select("caller", "call", F.explode("targets").alias("target"), F.when(F.col("n") == 1, UNIQUE).otherwise(AMBIGUOUS).alias("confidence"))
+    return near.unionByName(far)
 
 
 def resolve_calls(symbols: DataFrame) -> DataFrame:
@@ -40,8 +49,7 @@ def resolve_calls(symbols: DataFrame) -> DataFrame:
 
     A call 'Owner.m' goes to methods of that owner; if the owner's method is known but cannot be reached, or is not
     known, the bare name is tried, in the first case at OWNER_MISSED of the confidence. Names without a reachable
-    target, or with more than MOST of equal rank, give nothing. Null or empty names and calls give nothing. Names are not gathered:
-    those held by more symbols than MOST still join by name, file and group at once.
+    target, or with more than MOST of equal rank, give nothing. Null or empty names and calls give nothing.
     """
     own = symbols.where("name IS NOT NULL AND name <> ''").select("id", "name", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("path", F.lit("")).alias("path"))
     own = own.withColumn("grp", language_group(F.col("path")))
@@ -70,7 +78,7 @@ def resolve_inheritance(types: DataFrame, relations: DataFrame) -> DataFrame:
     own = types.where("name IS NOT NULL AND name <> ''").select("name", F.col("id").alias("target"), F.coalesce("path", F.lit("")).alias("t_path"))
     own = own.withColumn("t_grp", language_group(F.col("t_path")))
     told = relations.where("sub <> '' AND super <> '' AND lower(rel) IN ('extends', 'implements')").select(F.coalesce("path", F.lit("")).alias("path"), "sub", F.upper("rel").alias("kind"), "super").distinct()
-    told = told.withColumn("grp", language_group(F.col("path"))).withColumn("caller", F.concat_ws("|", "path", "sub", "kind", "super"))
+    told = told.withColumn("grp", language_group(F.col("path"))).withColumn("caller", joined(*[F.col(c) for c in ("path", "sub", "kind", "super")]))
     ends = [_picked(told.select("caller", "path", "grp", F.col(c).alias("call"), F.col(c).alias("name")), own).select("caller", F.col("target").alias(t), F.col("confidence").alias(f"c_{t}")) for c, t in (("sub", "from_id"), ("super", "to_id"))]
     out = told.select("caller", "kind").join(ends[0], "caller").join(ends[1], "caller").where("from_id <> to_id")
     return out.groupBy("kind", "from_id", "to_id").agg(F.max(F.least("c_from_id", "c_to_id")).alias("confidence"))

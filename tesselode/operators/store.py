@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 PROPS = "map<string,string>"
 
 
+def entries(props: Column) -> Column:
+    """Properties as key and value pairs in order of keys, to compare or group by; null ones are empty."""
+    return F.coalesce(F.array_sort(F.map_entries(props)), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
+
+
+def joined(*parts: Column) -> Column:
+    """Texts as one, each behind its length, so that different ones never look alike; a missing text counts as empty."""
+    texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)])
+
+
 def props_text(props: Column) -> Column:
     """Properties as 'key=value' in order of keys, joined by ';'."""
     pairs = F.array_sort(F.map_entries(props))
@@ -32,9 +43,8 @@ def merged(log: DataFrame) -> DataFrame:
 
 def linked(edges: DataFrame) -> DataFrame:
     """Each edge once by kind, ends and properties; the least id stays."""
-    same = F.coalesce(props_text(F.col("props")), F.lit(""))
-    best = edges.withColumn("same", same).groupBy("kind", "from_id", "to_id", "same").agg(F.min(F.struct("id", props_text(F.col("props")).alias("t"))).alias("m"), F.first("props").alias("props"))
-    return best.select(F.col("m.id").alias("id"), "kind", "from_id", "to_id", "props")
+    best = edges.withColumn("same", entries(F.col("props"))).groupBy("kind", "from_id", "to_id", "same").agg(F.min("id").alias("id"), F.first("props", True).alias("props"))
+    return best.select("id", "kind", "from_id", "to_id", "props")
 
 
 def without_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -102,7 +102,36 @@ def scc_cycles(spark, d):
 
 @query("module_layers", f"WITH RECURSIVE dag AS ({DAG}), down AS (SELECT from_id AS id, to_id AS at, 1 AS level FROM dag UNION SELECT w.id, e.to_id, w.level + 1 FROM down w JOIN dag e ON e.from_id = w.at) SELECT id, max(level) AS level FROM down GROUP BY id UNION ALL SELECT DISTINCT to_id, 0 FROM dag WHERE to_id NOT IN (SELECT from_id FROM dag)")
 def module_layers(spark, d):
-    return G.layers(dag(spark, d))
+    return G.layers(dag(spark, d)).select("id", "level")
+
+
+# the key graph with cycles: every third order points back at its customer, nations are a ring
+BACK = "SELECT 'Order:' || CAST(o_orderkey AS VARCHAR(20)) AS from_id, 'Customer:' || CAST(o_custkey AS VARCHAR(20)) AS to_id FROM {orders} WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'Nation:' || CAST(n_nationkey AS VARCHAR(20)), 'Nation:' || CAST((n_nationkey + 1) % 25 AS VARCHAR(20)) FROM {nation}"
+LOOPED = f"WITH {GRAPH_SQL}, looped AS MATERIALIZED (SELECT from_id, to_id FROM edges UNION ALL {BACK.format(orders='orders', nation='nation')}), ids AS (SELECT from_id AS id FROM looped UNION SELECT to_id FROM looped), own AS MATERIALIZED (SELECT i.id, CASE WHEN i.id LIKE 'Nation:%' THEN 'Nation:0' WHEN b.to_id IS NOT NULL THEN b.to_id ELSE i.id END AS component FROM ids i LEFT JOIN ({BACK.format(orders='orders', nation='nation')}) b ON b.from_id = i.id)"
+DAG_OF_COMPONENTS = "left_end AS MATERIALIZED (SELECT a.component AS f, e.to_id FROM looped e JOIN own a ON a.id = e.from_id), dag AS MATERIALIZED (SELECT DISTINCT f, t FROM (SELECT f, b.component AS t FROM left_end JOIN own b ON b.id = left_end.to_id) WHERE f <> t)"
+#: Levels follow from the kinds: the condensed graph has no way that repeats one.
+LEVELS = f"l0 AS (SELECT component, max(CASE WHEN id LIKE 'Region:%' THEN 0 WHEN id LIKE 'Nation:%' THEN 1 WHEN id LIKE 'Supplier:%' THEN 2 ELSE 0 END) AS level FROM own GROUP BY component), {DAG_OF_COMPONENTS}, " + ", ".join(f"l{i} AS MATERIALIZED (SELECT l.component, greatest(l.level, coalesce(max(n.level + 1), 0)) AS level FROM l{i - 1} l LEFT JOIN dag ON dag.f = l.component LEFT JOIN l{i - 1} n ON n.component = dag.t GROUP BY l.component, l.level)" for i in range(1, 7))
+
+
+def looped(spark, d):
+    back = spark.sql(BACK, orders=table(spark, d, "orders"), nation=table(spark, d, "nation"))
+    return edges(spark, d).select("from_id", "to_id").unionByName(back)
+
+
+@query("graph_components", LOOPED + " SELECT id, component, n AS size FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM own) WHERE n > 1")
+def graph_components(spark, d):
+    return G.strong_components(looped(spark, d))
+
+
+@query("graph_condensed", f"{LOOPED}, {DAG_OF_COMPONENTS} SELECT f AS from_id, t AS to_id FROM dag")
+def graph_condensed(spark, d):
+    g = looped(spark, d)
+    return G.condensed(g, G.components(g))
+
+
+@query("graph_layers", f"{LOOPED}, {LEVELS} SELECT own.id, own.component, l6.level FROM own JOIN l6 ON l6.component = own.component")
+def graph_layers(spark, d):
+    return G.layers(looped(spark, d))
 
 
 @query("community_lpa")
@@ -130,13 +159,14 @@ PICK = "cand AS (SELECT a.p_partkey AS caller, b.p_partkey AS target, a.p_brand
 
 def _targets(spark, d):
     """Calls by (type, size) to parts of that name: same brand 0.9, unique 0.8, up to three 0.5, else none."""
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_brand")
-    b = p.toDF("target", "t", "s", "brand")
-    x = p.join(b, (F.col("p_type") == F.col("t")) & (F.col("p_size") == F.col("s")) & (F.col("p_partkey") != F.col("target"))).select(F.col("p_partkey").alias("caller"), "target", (F.col("p_brand") == F.col("brand")).alias("same"))
-    w = Window.partitionBy("caller")
-    x = x.withColumns({"n": F.count("*").over(w), "any": F.max("same").over(w)})
-    confidence = F.when(F.col("any"), F.when(F.col("same"), 0.9)).when(F.col("n") == 1, 0.8).when(F.col("n") <= 3, 0.5)
-    return x.select("caller", "target", confidence.alias("confidence")).where("confidence is not null")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("caller"), "p_type", "p_size", "p_brand")
+    near = p.join(p.withColumnRenamed("caller", "target"), ["p_type", "p_size", "p_brand"]).where("caller <> target").select("caller", "target", F.lit(0.9).alias("confidence"))
+    # a name is one row with its count and no more holders than an ambiguous name may have, and one
+    first = F.row_number().over(Window.partitionBy("p_type", "p_size").orderBy("caller"))
+    few = p.withColumn("r", first).where("r <= 5").groupBy("p_type", "p_size").agg(F.count("*").alias("n"), F.collect_list("caller").alias("targets"))
+    alone = p.join(near.select("caller").distinct(), "caller", "left_anti").join(few.where("n BETWEEN 2 AND 4"), ["p_type", "p_size"])
+    far = alone.select("caller", F.explode("targets").alias("target"), F.when(F.col("n") == 2, 0.8).otherwise(0.5).alias("confidence")).where("caller <> target")
+    return near.unionByName(far)
 
 
 @query("resolve_targets", f"WITH {PICK} SELECT caller, target, CAST(confidence AS DOUBLE) AS confidence FROM edge WHERE confidence IS NOT NULL")

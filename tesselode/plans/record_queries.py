@@ -20,14 +20,14 @@ FEED = {
     "seq": "event_id",
     "project_id": f"'p' || {_TEXT.format('user_id % 3')}",
     "subject_id": f"'func:' || {_TEXT.format('user_id')}",
-    "description": "event_type",
+    "description": f"event_type || '|' || {_TEXT.format('user_id % 2')}",
     "source": f"CASE WHEN event_id % 4 = 0 THEN NULL ELSE 's' || {_TEXT.format('event_id % 2')} END",
     "confidence": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST((event_id % 110) / 100.0 AS DECIMAL(4, 2)) END",
     "agent": f"'a' || {_TEXT.format('event_id % 7')}",
     "method": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'm_' || event_type END",
     "state": "CASE WHEN event_id % 6 = 0 THEN NULL ELSE upper(event_type) END",
     "supports_hypothesis_id": f"CASE WHEN event_id % 3 = 0 THEN 'hyp:' || {_TEXT.format('user_id % 11')} ELSE NULL END",
-    "claim": f"event_type || ' of ' || {_TEXT.format('user_id % 5')}",
+    "claim": f"event_type || '|;=' || {_TEXT.format('user_id % 5')}",
     "binary_function_id": f"'bin:' || {_TEXT.format('user_id')}",
     "source_function_id": f"'func:' || {_TEXT.format('event_id % 17')}",
     "implementation_id": f"'impl:' || {_TEXT.format('event_id % 19')}",
@@ -87,7 +87,7 @@ def _record_sql(op: str) -> str:
         why += " WHEN role NOT IN (" + ", ".join(f"'{r}'" for r in R.ROLES) + ") THEN 'role'"
     text = {c: f"coalesce(CAST({c} AS VARCHAR), '{spec.defaults[c]}')" if c in spec.defaults else f"CAST({c} AS VARCHAR)" for c in cols if c != "seq"}
     good = "SELECT seq, " + ", ".join(f"{x} AS {c}" for c, x in text.items()) + " FROM judged WHERE why IS NULL"
-    node_id = "sha256(concat_ws('|', '" + spec.kind + "'" + "".join(f", coalesce({c}, '')" for c in spec.identity) + "))"
+    node_id = f"sha256('{len(spec.kind)}:{spec.kind}'" + "".join(f" || CAST(length(coalesce({c}, '')) AS VARCHAR) || ':' || coalesce({c}, '')" for c in spec.identity) + ")"
     shown = lambda pairs: "concat_ws(';', " + ", ".join(f"'{k}=' || {v}" for k, v in sorted(pairs.items())) + ")" if pairs else "''"
     parts = []
     if spec.kind:
