@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselode.functions.text_rules import severity, template
-from tesselode.sources.tables import LOCAL
+from tesselode.sources.tables import scratch
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -33,7 +32,7 @@ def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFra
     In update mode the last row of a key stands.
     """
     spark = stream.sparkSession
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
@@ -49,6 +48,25 @@ def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFra
     return out.drop("epoch")
 
 
+def sliced(spark: SparkSession, rows: DataFrame, by: str, slices: int) -> DataFrame:
+    """rows as a stream of `slices` micro-batches, in order of a whole-number column: each is a file of its own."""
+    path, schema = scratch(spark, "slices"), rows.schema
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    if low is None:
+        low = high = 0
+    step = (high - low) // slices + 1
+    for i in range(slices):
+        part = rows.where((F.col(by) >= low + i * step) & (F.col(by) < low + (i + 1) * step))
+        part.coalesce(1).write.parquet(f"{path}/{i:04}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{path}/*")
+
+
+def late_tumbling(events: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Windows that have closed, each once; rows that come after their window's end is passed by the watermark are lost to it."""
+    w = events.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
+    return w.select(_plain(F.col("window.start")).alias("window_start"), "event_type", "n")
+
+
 def tumbling(events: DataFrame, size: str = "1 day") -> DataFrame:
     w = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select(_plain(F.col("window.start")).alias("window_start"), "event_type", "n", "total")
