@@ -5,8 +5,9 @@ impact of each, and its largest impact of all. Each passage of each document is
 the threshold, a part of the item's score against itself. As in WAND, terms in rising order of their largest impact
 are passed over until their sum reaches the threshold; from this pivot on a term is essential, as an item without
 any of them cannot get there. Only blocks that hold an essential term are looked at, only those whose sum of block
-maxima reaches the threshold are opened, and only there postings are read and items scored. A retrieved item is
-a leak if the passage holds 0.75 or more of its 5-word shingles and half or more of the words both of its
+maxima reaches the threshold are opened, and only there postings are read and items scored. Passages are wide
+enough for the longest item. A retrieved item is then held against windows of twice its own length: it leaks if one reaches
+the threshold and holds 0.75 or more of its 5-word shingles and half or more of the words both of its
 question and of its answer: the last sentence, or the last third of an item of one sentence.
 """
 
@@ -101,6 +102,8 @@ class ItemIndex:
             self.slot[self.key // self.blocks, self.key % self.blocks] = np.arange(len(self.key))
             self.matrix = np.zeros((len(terms), self.blocks), np.float32)
             self.matrix[self.key // self.blocks, self.key % self.blocks] = self.most
+        self.term, self.by_item = term.astype(np.int32), np.argsort(self.item, kind="stable").astype(np.int32)
+        self.item_at = np.searchsorted(self.item[self.by_item], np.arange(len(items) + 1))
         self._grams: dict[int, np.ndarray] = {}
 
     def held(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -162,39 +165,58 @@ class ItemIndex:
 
     def leaks(self, words: np.ndarray, of: np.ndarray) -> list[tuple[int, int, int, float, float, float, float]]:
         """(document of the slice, item, first word, score, containment, question, answer) of verified leaks."""
-        span, stride = 2 * self.longest, self.longest
+        span, stride = 3 * self.longest, self.longest
         where, term = self.vocabulary.find(words)
         if not len(where):
             return []
         doc = np.searchsorted(of, where, "right") - 1
-        # a word lies in up to two passages, which start at multiples of the stride
-        nth = (where - of[doc]) // stride
-        last = np.maximum(0, (of[doc + 1] - of[doc] - 1) // stride)
+        # a word lies in up to three passages, which start at multiples of the stride
+        nth = np.minimum((where - of[doc]) // stride, np.maximum(0, (of[doc + 1] - of[doc] - 1) // stride))
         base = np.concatenate(([0], np.cumsum((np.maximum(np.diff(of), 1) - 1) // stride + 1)))
-        one = base[doc] + np.minimum(nth, last)
-        two = np.where(nth > 0, one - 1, -1)
-        passage, term = np.concatenate((one, two[two >= 0])), np.concatenate((term, term[two >= 0]))
+        in_each = [(base[doc] + nth - back)[nth >= back] for back in range(3)]
+        passage, term = np.concatenate(in_each), np.concatenate([term[nth >= back] for back in range(3)])
         pair = np.unique(passage * len(self.vocabulary.hashes) + term)
         passage, term = pair // len(self.vocabulary.hashes), pair % len(self.vocabulary.hashes)
         begin, end, groups, blocks = self.open_blocks(passage, term)
         found: dict[tuple[int, int], tuple] = {}
-        for g, j, score in self.retrieved(begin, end, groups, blocks, term):
+        for g, j, _ in self.retrieved(begin, end, groups, blocks, term):
             p = int(passage[begin[g]])
             d = int(np.searchsorted(base, p, "right") - 1)
-            first = int(of[d] + (p - base[d]) * stride)
-            x = self.verify(j, words[first : min(first + span, of[d + 1])])
-            if x and (old := found.get((d, j), (0, 0.0))) and x[0] > old[1]:
-                found[d, j] = (first - int(of[d]), x[0], score, *x[1:])
+            own, first = words[of[d] : of[d + 1]], int((p - base[d]) * stride)
+            for x in self.verified(j, own, first, first + stride):
+                if x[1] > found.get((d, j), (0, 0.0))[1]:
+                    found[d, j] = x
         return [(d, self.ids[j], f, s, c, q, a) for (d, j), (f, c, s, q, a) in found.items()]
 
-    def verify(self, j: int, passage: np.ndarray) -> tuple[float, float, float] | None:
+    def verified(self, j: int, words: np.ndarray, first: int, last: int) -> Iterator[tuple[int, float, float, float, float]]:
+        """(first word, containment, score, question, answer) of windows that leak item j, of those that start in [first, last).
+
+        A window is twice the item's own length and starts at a multiple of it, whatever other items there are.
+        """
         item, cut = self.flat[self.of[j] : self.of[j + 1]], self.answers[j]
+        m = len(item)
+        if not m:
+            return
         if j not in self._grams:
             self._grams[j] = grams(item)
-        held = float(np.isin(self._grams[j], grams(passage, min(WORDS, len(item)))).mean()) if len(item) else 0.0
+        need = self._grams[j]
+        start = np.arange(-(-first // m) * m, min(last, max(len(words), 1)), m)
+        if not len(start):
+            return
+        # each shingle that a window holds begins at a word of the item
+        hits = np.concatenate(([0], np.cumsum(np.isin(words[start[0] : start[-1] + 2 * m], item))))
+        stop = np.minimum(start + 2 * m, len(words))
+        enough = hits[stop - start[0]] - hits[start - start[0]] >= CONTAIN * len(need)
+        posts = self.by_item[self.item_at[j] : self.item_at[j + 1]]
+        terms, impact = self.vocabulary.hashes[self.term[posts]], self.impact[posts].astype(np.float64)
         parts = [np.unique(item[:cut]), np.unique(item[cut:])]
-        q, a = (float(np.isin(x, passage).mean()) if len(x) else 1.0 for x in parts)
-        return (held, q, a) if held >= CONTAIN and q >= PART and a >= PART else None
+        for s, e in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
+            window = words[s:e]
+            score = float(impact[np.isin(terms, window)].sum())
+            held = float(np.isin(need, grams(window, min(WORDS, m))).mean())
+            q, a = (float(np.isin(x, window).mean()) if len(x) else 1.0 for x in parts)
+            if score >= RETRIEVE and held >= CONTAIN and q >= PART and a >= PART:
+                yield s, held, score, q, a
 
 
 def grams(words: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -255,7 +277,7 @@ def indexes(items: DataFrame) -> Iterator[ItemIndex]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each row of docs and item that it leaks, with the best passage's first term and figures.
+    """A row for each row of docs and item that it leaks, with the best window's first term and figures.
 
     Null or empty texts and items, and items of null id, leak nothing; repeated rows give repeated rows. Items of
     fewer than five words must be held whole, in order. No items or no documents: no rows. Other columns are not looked at.

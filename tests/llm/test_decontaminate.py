@@ -75,13 +75,13 @@ def test_retrieval_and_rule_equal_brute_force(monkeypatch, matrix):
         return np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
 
     grams = lambda x, k: {tuple(x[p : p + k]) for p in range(len(x) - k + 1)}
-    want, longest = set(), max(len(w) for _, w, _ in bags)
+    want = set()
     for d, t in enumerate(texts):
         t = t.split()
-        for p in range(0, max(len(t), 1), longest):
-            passage = t[p : p + 2 * longest]
-            held = set(passage)
-            for i, bag, cut in bags:
+        for i, bag, cut in bags:
+            for p in range(0, max(len(t), 1), len(bag)):
+                passage = t[p : p + 2 * len(bag)]
+                held = set(passage)
                 score = sum(impact(w, bag) for w in set(bag) & held) / sum(impact(w, bag) for w in set(bag))
                 g = grams(bag, min(5, len(bag)))
                 q, a = (sum(w in held for w in set(x)) / len(set(x)) for x in (bag[:cut], bag[cut:]))
@@ -94,6 +94,17 @@ def test_retrieval_and_rule_equal_brute_force(monkeypatch, matrix):
     assert len(want) > 20 and got == want
 
 
+def test_other_items_change_no_leak(spark):
+    """Words of an item that lie far apart are no leak, whatever the length of another item; those side by side are one."""
+    item = "which river flows through the old town here. the green one"
+    far = [f"pad{i}" for i in range(1500)]
+    apart, near = far[:600] + item.split()[:6] + far[600:1100] + item.split()[6:] + far[1100:], far[:611] + item.split() + far[611:]
+    docs = spark.createDataFrame([(1, " ".join(apart)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    for others in ([], [(9, " ".join(f"long{i}" for i in range(1000)))], [(9, " ".join(f"q{i}" for i in range(17))), (8, "pad3 one")]):
+        got = find_leaks(docs, spark.createDataFrame([(1, item), *others], "item_id long, text string")).where("item_id = 1").collect()
+        assert [r["doc_id"] for r in got] == [2], others
+
+
 def test_any_shard_size_gives_the_same_rows(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
