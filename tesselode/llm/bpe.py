@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import sys
 from collections.abc import Iterator
 from itertools import chain
@@ -93,10 +94,7 @@ def merger(path: str):
 
 
 class PieceEncoder:
-    """Encodes texts as the tokenizer file does with encode_special_tokens = True: a special token's literal is plain text.
-
-    The file's default setting gives such a literal the special token's own id.
-    """
+    """Encodes texts as the tokenizer file does by default: a literal of a special token has the token's own id."""
 
     _made: dict[str, "PieceEncoder"] = {}
 
@@ -111,7 +109,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        plain = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values())
+        if not plain or len(added) < len(self.tokenizer.get_added_tokens_decoder()):
+            raise ValueError("added tokens that are not special or take in what is beside them are not supported")
+        #: Literals as they are found in a text: the leftmost, of those the longest.
+        self.special = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+        self.special_ids = added
+        self.tokenizer.encode_special_tokens = True  # what is between them is text
         self.merge = merger(path)
         self.keys = np.zeros(SLOTS, np.uint64)
         self.size = np.zeros(SLOTS, np.uint8)
@@ -125,7 +130,24 @@ class PieceEncoder:
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets) for runs of whole texts."""
         for first, last, raw, at in tc.slices(column):
-            yield first, *self._slice(raw, at)
+            found = [m.span() for m in self.special.finditer(raw.tobytes())] if self.special else []
+            # a literal lies in one text: one that would begin in another is text in both
+            found = [(a, b) for a, b in found if np.searchsorted(at, a, "right") == np.searchsorted(at, b, "left")]
+            yield first, *(self._with_special(raw, at, found) if found else self._slice(raw, at))
+
+    def _with_special(self, raw: np.ndarray, at: np.ndarray, found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """What is between the literals is encoded as texts of its own; the literals' ids go in between."""
+        kept = np.ones(len(raw), bool)
+        for a, b in found:
+            kept[a:b] = False
+        before = np.concatenate(([0], np.cumsum(kept)))
+        cuts = np.array([a for a, _ in found])
+        parts = np.sort(np.concatenate((before[at], before[cuts])))
+        flat, ends = self._slice(raw[kept], parts)
+        # ids that come before each literal and each text's beginning, and the literals before it
+        ahead = ends[np.searchsorted(parts, before[cuts])]
+        out = np.insert(flat, ahead, [self.special_ids[raw[a:b].tobytes()] for a, b in found])
+        return out, ends[np.searchsorted(parts, before[at])] + np.searchsorted(cuts, at)
 
     def _slice(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(raw):

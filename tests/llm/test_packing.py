@@ -17,14 +17,12 @@ SCHEMA = "doc_id long, text string, lane string"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def hard_texts():
     r = random.Random(8)
-    bits = ["don't", "we'll've", "'s", " 's", "''s", "it'S", "x'sx", "'re", "\n't", " ", "  ", "\t", "\n\n", "\r\n", " ", "　", "a", "Zé", "日本語", "12", "½", "٣", "!", "?!", "…", "🙂", "\U0001d4d0", "é", "_", "<|endoftext|>", "'", "'l", "'ll", "'v", "\x1c", "\x85", "ſ's"]
+    bits = ["don't", "we'll've", "'s", " 's", "''s", "it'S", "x'sx", "'re", "\n't", " ", "  ", "\t", "\n\n", "\r\n", " ", "　", "a", "Zé", "日本語", "12", "½", "٣", "!", "?!", "…", "🙂", "\U0001d4d0", "é", "_", "<|endoftext|>", "'", "'l", "'ll", "'v", "\x1c", "\x85", "ſ's", "<|endo", "ftext|>"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(3000)]
     return texts + ["", " ", "  ", "'", "'s", "a'", "\n", "x" * 5000, " " * 700 + "a", "ab'd " * 100]
 
@@ -39,6 +37,12 @@ def test_ids_equal_the_tokenizer(tokenizer, sf, spark):
         assert len(got) == len(texts) and not bad, (texts[bad[0]][:200], got[bad[0]][:20], want[bad[0]][:20])
 
 
+def test_literals_of_special_tokens_within_texts_alone(tokenizer):
+    texts = ["a <|endoftext|> b", "<|endo", "ftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "", "<|endoftext|", ">"]
+    got = [flat[at[i] : at[i + 1]].tolist() for _, flat, at in bpe.PieceEncoder(PATH).encode_column(pa.array(texts)) for i in range(len(at) - 1)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+
+
 def test_a_full_memory_forgets_but_never_errs(tokenizer, monkeypatch):
     monkeypatch.setattr(bpe, "SLOTS", 16)
     encoder = bpe.PieceEncoder(PATH)
