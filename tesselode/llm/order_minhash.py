@@ -3,7 +3,8 @@
 For each of M functions: the L occurrence-numbered k-mers with the least hashes, kept in text
 order, hashed as a tuple. Two texts agree in a function with a probability that falls with
 their edit distance: a k-mer that is lost, gained or moved past another changes the tuple. A
-k-mer is K words `[^\\x20\\x09-\\x0D]+`; a text of fewer words is one k-mer.
+k-mer is K units: words `[^\\x20\\x09-\\x0D]+` of up to LONG bytes, and each code point of longer ones, so that text without
+blanks has k-mers too. A text of fewer units is one k-mer.
 
 Neighbours by id are found without gathering the table: the id range is cut at quantiles, each
 range is sorted in one task and the largest row of a range also goes to the range above it.
@@ -25,6 +26,8 @@ from .repeats import _batch
 from .runtime import partitions, tune
 
 K, L, M = 3, 2, 64
+#: Bytes of a word above which its code points are the units.
+LONG = 32
 
 _rng = np.random.default_rng(11)
 _MUL = (_rng.integers(0, 1 << 31, M, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -33,9 +36,27 @@ _ADD = _rng.integers(0, 1 << 32, M, dtype=np.uint32)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
+def units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and per-document offsets of the words of a slice, with code points in place of long words."""
+    start, end, of = tc.word_bounds(raw, at)
+    long = end - start > LONG
+    if not long.any():
+        return start, end, of
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[start[long]] += 1
+    inside[end[long]] -= 1
+    lead = np.flatnonzero((np.cumsum(inside[:-1], dtype=np.int8) > 0) & ((raw & 0xC0) != 0x80))
+    ends = np.append(lead[1:], len(raw))
+    word = np.searchsorted(start[long], lead, "right") - 1
+    ends = np.minimum(ends, end[long][word])
+    starts = np.concatenate((start[~long], lead))
+    order = np.argsort(starts)
+    return starts[order], np.concatenate((end[~long], ends))[order], np.searchsorted(starts[order], at)
+
+
 def kmers(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Hashes of the occurrence-numbered k-mers of each text of a slice, in text order."""
-    start, end, of = tc.word_bounds(raw, at)
+    start, end, of = units(raw, at)
     words = tc.word_hashes(raw, start, end)
     sums, out = tc.prefix(words), []
     p = np.arange(max(0, len(words) - K + 1))

@@ -56,7 +56,7 @@ def plain_fingerprint(text):
 
     raw = np.frombuffer(text.encode(), np.uint8)
     numbered = o.kmers(raw, np.array([0, len(raw)]))[0]
-    words = [w for w in re.split(rb"[ \t-\r]+", text.encode()) if w]
+    words = [u for w in re.split("[ \t-\r]+", text) if w for u in ([w] if len(w.encode()) <= o.LONG else w)]
     grams = [tuple(words[i : i + o.K]) for i in range(len(words) - o.K + 1)] or ([tuple(words)] if words else [])
     seen, keys = {}, []
     for g in grams:
@@ -76,7 +76,7 @@ def plain_fingerprint(text):
 def test_fingerprints_equal_a_plain_version():
     r = random.Random(9)
     texts = [" ".join(r.choice(["a", "b", "c", "dd", "é"]) for _ in range(r.randint(0, 60))) for _ in range(40)]
-    texts += [texts[0], "a b c " * 30, "one", "one two"]
+    texts += [texts[0], "a b c " * 30, "one", "one two", "漢字" * 40, "x" * 32 + " " + "y" * 33 + " z", "é" * 17 + "ab", "漢字かな交じり文の長い列である" * 3 + " end"]
     plain = [plain_fingerprint(t) for t in texts]
     prints = fingerprints(texts)
     over = []
@@ -104,3 +104,16 @@ def test_many_ranges_and_odd_ids(spark):
         for k, (i, t) in enumerate(line):
             e = edited_text(t, line[(k + 1) % len(line)][1])
             assert got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest(), i
+
+
+def test_likeness_falls_with_the_edits_of_text_without_blanks():
+    r = random.Random(6)
+    for letters in ("的一是不了人我在有他这中大来上个国到说们", "abcdefghijklmnopqrstuvwxyz0123456789+/"):
+        text, seen = [r.choice(letters) for _ in range(5000)], []
+        whole = fingerprints(["".join(text)])[0]
+        for edits in (1, 50, 500, 5000):
+            t = list(text)
+            for i in r.sample(range(5000), edits):
+                t[i] = r.choice(letters)
+            seen.append(likeness(whole, fingerprints(["".join(t)])[0]))
+        assert seen[0] > 0.9 and seen[0] > seen[1] > seen[2] > seen[3] and seen[3] < 0.1, seen
