@@ -53,32 +53,36 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score, i == unk_id))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         names = {p for p, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.keys, self.counts = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
 
     def count(self, word: str) -> int:
-        n = len(word)
-        by_start: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        """Tokens of the best segmentation. Matches come by their ends, the longest first, which is also the order of ties; a ring as long as the longest piece holds all that they need, however long the word."""
+        ring = self.longest + 1
+        best, whole, open_ = [0.0] * ring, [0] * ring, [0] * ring
+        e, found, single = 1, None, False
+
+        def close() -> None:
+            """Place e has had its matches: a character that is no piece is unknown, its bytes (or one) join an open run."""
+            nonlocal e, found, single
+            s = (e - 1) % ring
+            if not single and (found is None or best[s] + self.unknown > found[0]):
+                found = (best[s] + self.unknown, whole[s], open_[s] + len(word[e - 1].encode()) if self.bytes else 1)
+            best[e % ring], whole[e % ring], open_[e % ring] = found
+            e, found, single = e + 1, None, False
+
         for end, (size, score, _) in self.automaton.iter(word):
-            by_start[end - size + 1].append((size, score))
-        best: list[float | None] = [None] * (n + 1)
-        best[0] = 0.0
-        # pieces, and the bytes (or one) of a run of unknown characters that ends here
-        whole, open_ = [0] * (n + 1), [0] * (n + 1)
-        for s in range(n):
-            here, single = best[s], False
-            for size, score in by_start[s]:
-                e, x = s + size, here + score
-                single |= size == 1
-                if best[e] is None or x > best[e]:
-                    best[e], whole[e], open_[e] = x, whole[s] + open_[s] + 1, 0
-            if not single:
-                e, x = s + 1, here + self.unknown
-                if best[e] is None or x > best[e]:
-                    cost = len(word[s].encode()) if self.bytes else 0
-                    best[e], whole[e], open_[e] = x, whole[s], (open_[s] + cost) if self.bytes else 1
-        return whole[n] + open_[n]
+            while e <= end:
+                close()
+            s = (e - size) % ring
+            single |= size == 1
+            if found is None or best[s] + score > found[0]:
+                found = (best[s] + score, whole[s] + open_[s] + 1, 0)
+        while e <= len(word):
+            close()
+        return whole[len(word) % ring] + open_[len(word) % ring]
 
     def count_slice(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Tokens of each text of a slice."""

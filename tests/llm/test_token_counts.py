@@ -38,3 +38,25 @@ def test_ties_and_unknowns_without_bytes():
         for _ in range(60):
             w = "".join(r.choice("abcd") for _ in range(r.randint(1, 9)))
             assert c.count("▁" + w) == len(t.encode(w, add_special_tokens=False).ids), (w, pieces)
+
+
+def test_a_long_text_without_blanks_needs_little_room():
+    """A ring of the longest piece: beside the automaton's own copy of 4 bytes a character, the peak does not grow with the word."""
+    import tracemalloc
+
+    r, peaks = random.Random(2), []
+    c = Counter([("<unk>", 0.0), ("▁", -1.0), ("ab", -1.5), ("abc", -1.0), ("c", -2.0), ("日本", -1.0)])
+    for n in (20_000, 400_000):
+        word = "▁" + "".join(r.choice("abc日本語") for _ in range(n))
+        tracemalloc.start()
+        c.count(word)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 4.1 * 380_000
+
+
+def test_long_words_equal_the_library():
+    t, c, r = oracle(read_pieces(PATH)), Counter.of(PATH), random.Random(7)
+    for letters in ("abcdefghij", "日本語テキスト", "a日🙂é"):
+        word = "".join(r.choice(letters) for _ in range(20_000))
+        assert c.count("▁" + word) == len(t.encode(word, add_special_tokens=False).ids)
