@@ -66,6 +66,11 @@ def find_nodes(nodes: DataFrame, kind: str | None = None, filters: dict[str, str
     return out.orderBy("id")
 
 
+def listed(nodes: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """(id, columns..) of the nodes of a kind, a property each; null where a node lacks it."""
+    return nodes.where(F.col("kind") == kind).select("id", *[F.col("props")[c].alias(c) for c in columns])
+
+
 def present(nodes: DataFrame) -> DataFrame:
     """(id, row): a node as one flat map of id, kind and properties; a property of that name overrides."""
     own = F.create_map(F.lit("id"), F.col("id"), F.lit("kind"), F.col("kind"))

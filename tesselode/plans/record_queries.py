@@ -286,3 +286,35 @@ def resolve_inheritance(spark, d):
 @query("impact_analysis", f"WITH RECURSIVE {GRAPH_SQL}, walk AS (SELECT 'Supplier:3' AS id, 0 AS distance UNION SELECT e.from_id, w.distance + 1 FROM walk w JOIN edges e ON e.to_id = w.id WHERE w.distance < 2 AND e.kind IN ('SUPPLIED_BY', 'PLACED', 'CONTAINS')), best AS (SELECT id, min(distance) AS distance FROM walk GROUP BY id) SELECT b.id, b.distance, arg_min(e.kind, e.id) AS via FROM best b JOIN edges e ON e.from_id = b.id AND e.kind IN ('SUPPLIED_BY', 'PLACED', 'CONTAINS') JOIN best p ON p.id = e.to_id AND p.distance = b.distance - 1 GROUP BY b.id, b.distance")
 def impact_analysis(spark, d):
     return G.impact(edges(spark, d), "Supplier:3", 2, 10_000, ["SUPPLIED_BY", "PLACED", "CONTAINS"])
+
+
+# ---- readers of what the writers append
+
+
+def _reader(name: str, op: str, columns: list[str], where: str, order: str = "") -> None:
+    """A query over the state of an operation's records: those columns of the nodes that the condition holds for."""
+    spec = R.RECORDS[op]
+    judged = _record_sql(op).split(" UNION ALL ")[0].split("SELECT 'node' AS what")[0]
+    own = dict.fromkeys((*spec.identity, *spec.state))
+    last = ", ".join(f"arg_max({c}, seq) AS {c}" for c in own)
+    fixed = "".join(f", '{v}' AS {k}" for k, v in spec.fixed.items())
+    sql = f"{judged} SELECT id, {', '.join(columns)} FROM (SELECT node_id AS id, {last}{fixed} FROM good GROUP BY node_id) WHERE {where} {order}"
+
+    def run(spark, d):
+        log, _, _ = R.record(op, spark.sql(_feed(op) + "{events}", events=table(spark, d, "events")))
+        return S.listed(S.merged(log), spec.kind, [*own, *spec.fixed]).where(where).select("id", *columns)
+
+    query(name, sql)(run)
+
+
+_reader("get_evidence", "record_evidence", ["subject_id", "description", "source", "state", "confidence"], "subject_id = 'func:7'")
+_reader("get_hypotheses", "record_hypothesis", ["subject_id", "claim", "state", "confidence", "agent"], "project_id = 'p1' AND state = 'ERROR'")
+_reader("get_semantic_mappings", "record_semantic_mapping", ["target_construct", "source_construct", "semantic_meaning", "translation_rule", "compatibility_issue"], "binary_id = 'b1'")
+_reader("get_porting_decisions", "record_porting_decision", ["language", "original_construct", "target_construct", "reason"], "binary_id = 'b2' AND language = 'rust'")
+_reader("get_known_differences", "record_known_difference", ["diff_type", "description", "severity", "impact"], "severity = 'critical'")
+_reader("get_verification_results", "record_verification_test", ["function_addr", "test_name", "binary_output", "ported_output", "match"], "binary_id = 'b3'")
+_reader("list_teams", "team_create", ["project_id", "team", "owner_agent"], "project_id = 'p0'")
+_reader("list_agents", "team_member", ["team_id", "agent", "role"], "role = 'tech_lead'")
+_reader("get_tasks", "assign_task", ["team_id", "title", "assignee", "role", "priority", "status"], "team_id = 'team:3' AND status = 'todo'")
+_reader("shared_knowledge", "share_knowledge", ["from_agent", "to_agent", "to_role", "title", "content", "version"], "to_role = 'researcher'")
+
