@@ -30,7 +30,7 @@ both("find_paged", "SELECT c_custkey AS id, c_name AS name FROM {customer} WHERE
 both("signature_similar", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS class_id, count(*) OVER (PARTITION BY p_brand, p_size) - 1 AS n_similar FROM {part} WHERE p_brand IS NOT NULL AND p_size IS NOT NULL")
 both("module_summary", "SELECT n_name AS module, count(*) AS n_symbols, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS n_functions FROM {nation} JOIN {customer} ON n_nationkey = c_nationkey GROUP BY n_name")
 both("entry_points_rule", "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE lower(p_name) LIKE 'main%' OR lower(p_name) LIKE 's%' OR lower(p_name) IN ('init', 'handler', 'run') ORDER BY id LIMIT 50")
-both("related_by_name_rule", "SELECT p_partkey AS id, p_type AS type FROM {part} WHERE (p_type LIKE '%TIN' OR p_type LIKE 'PROMO%') AND p_size % 2 = 0 ORDER BY id LIMIT 50")
+both("related_by_name_rule", "SELECT p_partkey AS id, p_type AS type FROM {part} WHERE p_type LIKE '%TIN' OR p_type LIKE 'PROMO%' ORDER BY id LIMIT 50")
 both("churn", "SELECT l_partkey AS path, count(*) AS changes, round(sum(l_quantity), 2) AS added, round(sum(l_tax), 4) AS deleted FROM {lineitem} GROUP BY l_partkey ORDER BY changes DESC, path LIMIT 100")
 both("ownership", "SELECT l_suppkey AS author, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_files FROM {lineitem} GROUP BY l_suppkey")
 both("hunk_overlap", "SELECT a.l_orderkey, a.l_linenumber AS hunk, b.l_linenumber AS symbol FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5")
