@@ -21,6 +21,8 @@ from tesselode.sources.tables import settle
 
 #: Fixed limit: files a full walk visits; a longer walk is cut in order of paths, and then nothing counts as vanished.
 MAX_FILES = 50_000
+#: Added and changed files up to which their paths are broadcast.
+PICKED = 100_000
 FILES = "path string, sha256 string"
 SYMBOLS = "id string, path string, kind string, name string, line int, calls array<string>"
 EDGES = "id string, kind string, from_id string, to_id string, source string, confidence double"
@@ -49,13 +51,20 @@ class Pass:
     truncated: bool
 
 
-def walked(walk: DataFrame, limit: int = MAX_FILES) -> tuple[DataFrame, bool]:
-    """(path, content, sha256), one row for each path, and whether the walk was longer than the limit. Null paths are left out, null contents are empty; of repeated paths the least content counts."""
-    own = walk.where("path IS NOT NULL").groupBy("path").agg(F.min(F.coalesce("content", F.lit(""))).alias("content"))
-    out = own.withColumn("sha256", F.sha2("content", 256))
-    if out.count() <= limit:
-        return out, False
-    return out.orderBy("path").limit(limit), True
+def _contents(walk: DataFrame) -> DataFrame:
+    content = F.coalesce("content", F.lit(""))
+    return walk.where("path IS NOT NULL").select("path", content.alias("content"), F.sha2(content, 256).alias("sha256"))
+
+
+def walked(walk: DataFrame, limit: int = MAX_FILES) -> tuple[DataFrame, bool, bool]:
+    """(path, sha256), one row for each path; whether the walk was longer than the limit; whether a path came with several contents.
+
+    Null paths are left out, null contents are empty; of several contents the one with the least hash counts. Contents themselves are not shuffled.
+    """
+    out = settle(_contents(walk).groupBy("path").agg(F.min("sha256").alias("sha256"), F.count("*").alias("n")))
+    total, most = out.agg(F.count("*"), F.max("n")).first()
+    out = out.drop("n")
+    return (out, False, (most or 0) > 1) if total <= limit else (out.orderBy("path").limit(limit), True, (most or 0) > 1)
 
 
 def compare(old: DataFrame, walk: DataFrame, scope: DataFrame | None = None, whole: bool = True) -> DataFrame:
@@ -113,11 +122,20 @@ def reindex(state: State, walk: DataFrame, extract: Callable[[DataFrame], DataFr
 
     The state is read, never written in place: a pass that is run again gives the same result.
     """
-    new, truncated = walked(walk, limit)
-    new = settle(new)
+    new, truncated, repeated = walked(walk, limit)
     fate = settle(compare(state.files, new, scope, not truncated))
-    read = fate.where("status IN ('added', 'changed')").select("path")
-    fresh = settle(extract(new.join(read, "path", "left_semi").select("path", "content")).select("id", "path", "kind", "name", "line", "calls").dropDuplicates(["id"]))
+    read = fate.where("status IN ('added', 'changed')").select("path", "sha256")
+    told, n = _contents(walk), read.count()
+    # few files are picked before they are read; many only after it, as symbols are smaller than contents
+    if n <= PICKED:
+        told = told.join(F.broadcast(read), ["path", "sha256"], "left_semi")
+    elif repeated:
+        told = told.join(read, ["path", "sha256"], "left_semi")
+    found = extract(told.select("path", "content")).select("id", "path", "kind", "name", "line", "calls")
+    if n > PICKED and not repeated:
+        found = found.join(read.select("path"), "path", "left_semi").select("id", "path", "kind", "name", "line", "calls")
+    fresh = settle(found.dropDuplicates(["id"]))
+    read = read.select("path")
     carried = state.symbols.join(fate.where("status = 'same'").select("path"), "path", "left_semi")
     symbols = settle(carried.select("id", "path", "kind", "name", "line", "calls").unionByName(fresh))
     was, now = state.symbols.select("id", F.col("path").alias("old_path")), symbols.select("id", F.col("path").alias("new_path"))
