@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselode.operators.graph import union_all
+from tesselode.sources.tables import settle
 
 # Endings of scripts in the order they are tried, endings that an import may name for them, those of C, files of a Go package.
 SCRIPTS = ["ts", "tsx", "js", "jsx", "mjs", "cjs"]
@@ -123,7 +124,7 @@ def resolved(imports: DataFrame, files: DataFrame, go_module: str | None = None,
     The importing path's ending tells the language: Python, scripts, Java, Go, C and Rust. The end of a path counts only if one file
     has it; a Go package has its first PACKAGE_FILES files by path, without tests. External targets, wildcards, nulls and unknown endings find nothing.
     """
-    asked = candidates(imports, go_module, root)
+    asked = settle(candidates(imports, go_module, root))  # read for the keys that are asked for and for the join
     hits = asked.join(_answers(files, asked), ["how", "key"])
     first = F.min("step").over(Window.partitionBy("path", "target"))
     hits = hits.withColumn("first", first).where("step = first AND hit <> path")
