@@ -110,8 +110,15 @@ def _blocks(tokens: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
         if max(costs.values()) <= most:
             break
         n *= 2
-    for part in sorted(costs):
-        yield [(r.name, r.token) for r in cut.where(F.col("part") == part).select("name", "token").collect()]
+    # neighbouring ranges that fit together are one block: there may be more ranges than were asked for
+    held: list[int] = []
+    for part in [*sorted(costs), None]:
+        if held and (part is None or sum(costs[p] for p in held) + costs[part] > most):
+            rows = cut.where(F.col("part").isin(held)).select("name", "token").collect()
+            yield [(r.name, r.token) for r in rows]
+            held = []
+        if part is not None:
+            held.append(part)
 
 
 def replaced(texts: DataFrame, tokens: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
