@@ -67,7 +67,13 @@ def candidates(imports: DataFrame, go_module: str | None = None, root: str = "."
     """(path, target, step, how, key) of imports(path, target): what may be meant, the lowest step first."""
     x = imports.where("path IS NOT NULL AND target IS NOT NULL").select("path", "target").distinct()
     path, target = F.col("path"), F.col("target")
-    folder, ext = _folder(path), ending(path)
+    base = _under(_folder(path), target)
+    for e in NAMED:
+        base = F.regexp_replace(base, rf"\.{e}$", "")
+    # columns of their own, as a script's twelve candidates share them
+    x = x.withColumn("_folder", _folder(path)).withColumn("_ext", ending(path))
+    x = x.withColumn("_base", F.when(F.col("_ext").isin(SCRIPTS) & target.startswith("."), base)).withColumn("_index", cleaned(F.concat("_base", F.lit("/index"))))
+    folder, ext, base, index = (F.col(c) for c in ("_folder", "_ext", "_base", "_index"))
 
     def keys(*found: tuple[int, str, Column]) -> Column:
         return F.array(*[F.struct(F.lit(s).alias("step"), F.lit(how).alias("how"), key.alias("key")) for s, how, key in found])
@@ -81,11 +87,8 @@ def candidates(imports: DataFrame, go_module: str | None = None, root: str = "."
     slashed = F.replace(rel, F.lit("."), F.lit("/"))
     python = F.when(target.startswith("."), F.when(rel == "", keys((0, "exact", _under(top, "__init__.py")))).otherwise(keys((0, "exact", _under(top, slashed, ".py")), (0, "exact", _under(top, slashed, "/__init__.py")))))
     python = python.otherwise(keys((0, "end", F.concat(slashed, F.lit(".py"))), (1, "end", F.concat(slashed, F.lit("/__init__.py")))))
-    base = _under(folder, target)
-    for e in NAMED:
-        base = F.regexp_replace(base, rf"\.{e}$", "")
     tries = [(i, "exact", F.concat(base, F.lit(f".{e}"))) for i, e in enumerate(SCRIPTS)]
-    tries += [(len(SCRIPTS) + i, "exact", cleaned(F.concat(base, F.lit(f"/index.{e}")))) for i, e in enumerate(SCRIPTS)]
+    tries += [(len(SCRIPTS) + i, "exact", F.concat(index, F.lit(f".{e}"))) for i, e in enumerate(SCRIPTS)]
     script = F.when(target.startswith("."), keys(*tries)).otherwise(none)
     java = F.when(target.endswith(".") | target.endswith("*"), none).otherwise(keys((0, "end", F.concat(F.replace(target, F.lit("."), F.lit("/")), F.lit(".java")))))
     segments = F.split(target, "/")
