@@ -37,3 +37,20 @@ def test_against_loops(spark):
     pairs = sorted((a[0], a[3], b[3], max(a[1], b[1]), min(a[2], b[2])) for a in own for b in own if a[0] == b[0] and a[1] <= b[2] and b[1] <= a[2])
     assert sorted(tuple(x) for x in N.overlaps(s, s).collect()) == pairs
     assert N.within(p.limit(0), s).count() == 0 and N.overlaps(s, s.limit(0)).count() == 0
+
+
+def test_no_side_is_broadcast(spark):
+    spans, points = rows()
+    s, p = spark.createDataFrame(spans, SPAN), spark.createDataFrame(points, POINT)
+    for df in (N.within(p, s), N.innermost(p, s), N.overlaps(s, s), N.touched(s, s)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_touched_counts_what_overlaps_pairs(spark):
+    s = spark.createDataFrame(rows()[0] + [("d", 0, None, 200, "x"), ("d", 1000, 1023, 201, "x"), ("d", 1024, 5000, 202, "x"), ("e", 3, 4, 203, "x")], SPAN)
+    want = {}
+    for x in N.overlaps(s, s).collect():
+        n, lines = want.get(x["left_id"], (0, 0))
+        want[x["left_id"]] = n + 1, lines + x["last"] - x["first"] + 1
+    assert {x["id"]: (x["hunks"], x["lines"]) for x in N.touched(s, s).collect()} == want
+    assert N.touched(s, s.limit(0)).count() == 0
