@@ -25,3 +25,12 @@ def test_get_function_tells_every_holder(spark, sf, tmp_path):
     n = rows.count()
     got = QUERIES["get_function"](spark, swapped(spark, sf, tmp_path, "part", rows)).collect()
     assert n > 1000 and len({r["id"] for r in got}) == len(got) == n
+
+
+def test_impact_analysis_has_no_limit(spark, sf, tmp_path):
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1).drop("l_partkey", "l_suppkey", "l_orderkey")
+    rows = spark.range(10_100).selectExpr("id AS l_partkey", "3L AS l_suppkey", "id % 5 + 1000000 AS l_orderkey").crossJoin(line)
+    got = QUERIES["impact_analysis"](spark, swapped(spark, sf, tmp_path, "lineitem", rows)).collect()
+    near = [r for r in got if r["distance"] == 1]
+    assert len(near) == 10_100 and {r["via"] for r in near} == {"SUPPLIED_BY"}
+    assert sorted(r["id"] for r in got if r["distance"] == 2) == [f"Order:{i}" for i in range(1_000_000, 1_000_005)]
