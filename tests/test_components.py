@@ -59,6 +59,17 @@ def test_long_chain_and_ring(spark):
     assert G.components(none).count() == 0 and G.layers(none).count() == 0
 
 
+def test_peeling_stops_when_little_goes(spark, monkeypatch):
+    """A ring with a short tail: the tail's nodes would go one in a round over all edges."""
+    ring = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)] + [(f"r{i}", f"r{(i + 7) % 40}") for i in range(40)]
+    tail = [("r0", "t0"), ("t0", "t1"), ("t1", "t2"), ("t2", "t3")]
+    colours, spread = [], G._spread
+    monkeypatch.setattr(G, "_spread", lambda labels, edges, *rest: colours.append(edges.count()) or spread(labels, edges, *rest))
+    got = {x["id"]: x["component"] for x in G.components(spark.createDataFrame(ring + tail, EDGE), 0).collect()}
+    assert got == {x: "r0" if x[0] == "r" else x for p in ring + tail for x in p}
+    assert colours[0] == 83
+
+
 def test_properties_and_identities_do_not_melt(spark):
     edges = spark.createDataFrame([("1", "C", "a", "b", {"a": "1;b=2"}), ("2", "C", "a", "b", {"a": "1", "b": "2"}), ("3", "C", "a", "b", {"b": "2", "a": "1"}), ("4", "C", "a", "b", None), ("5", "C", "a", "b", {})], "id string, kind string, from_id string, to_id string, props map<string,string>")
     assert sorted(x["id"] for x in S.linked(edges).collect()) == ["1", "2", "4"]
