@@ -86,3 +86,15 @@ def test_a_name_that_all_hold_is_one_row(spark):
     rows = [(str(i), "init", "", f"f{i}.go", ["init", "solo"]) for i in range(n)] + [("x", "solo", "", "x.go", [])]
     got = V.resolve_calls(spark.createDataFrame(rows, "id string, name string, owner string, path string, calls array<string>"))
     assert got.count() == n and {x["to_id"] for x in got.collect()} == {"x"}
+
+
+def test_tasks_follow_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 7)
+    monkeypatch.setattr(V, "TASK_PAIRS", 40)
+    left = spark.createDataFrame([(i, f"k{i % 3}") for i in range(60)] + [(99, None), (98, "lone")], "a int, k string")
+    right = spark.createDataFrame([(i, f"k{i % 2}") for i in range(40)] + [(99, None)], "b int, k string")
+    got = V.paired(left, right, ["k"])
+    want = sorted(tuple(x) for x in left.join(right, "k").collect())
+    assert sorted((x["k"], x["a"], x["b"]) for x in got.collect()) == want
+    assert got.rdd.getNumPartitions() == len(want) // 40
+    assert V.paired(left.limit(0), right, ["k"]).count() == 0
