@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselode.operators import graph as G
 from tesselode.operators import minisql
+from tesselode.operators import resolve as V
 from tesselode.sources.tables import EDGES_SQL, GRAPH_SQL, edges, nodes, table
 
 from .catalog import query
@@ -157,14 +158,20 @@ def bridge_edges(spark, d):
 PICK = "cand AS (SELECT a.p_partkey AS caller, b.p_partkey AS target, a.p_brand = b.p_brand AS same_file FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey), ranked AS (SELECT *, count(*) OVER (PARTITION BY caller) AS n, max(CASE WHEN same_file THEN 1 ELSE 0 END) OVER (PARTITION BY caller) AS any_same FROM cand), edge AS (SELECT caller, target, CASE WHEN any_same = 1 THEN CASE WHEN same_file THEN 0.9 END WHEN n = 1 THEN 0.8 WHEN n <= 3 THEN 0.5 END AS confidence FROM ranked)"
 
 
+def _near_targets(p):
+    """(caller, target) of parts of one name and brand."""
+    return V.paired(p, p.select(F.col("caller").alias("target"), "p_type", "p_size", "p_brand"), ["p_type", "p_size", "p_brand"]).where("caller <> target").select("caller", "target")
+
+
 def _targets(spark, d):
     """Calls by (type, size) to parts of that name: same brand 0.9, unique 0.8, up to three 0.5, else none."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("caller"), "p_type", "p_size", "p_brand")
-    near = p.join(p.withColumnRenamed("caller", "target"), ["p_type", "p_size", "p_brand"]).where("caller <> target").select("caller", "target", F.lit(0.9).alias("confidence"))
+    near = _near_targets(p).withColumn("confidence", F.lit(0.9))
     # a name is one row with its count and no more holders than an ambiguous name may have, and one
     first = F.row_number().over(Window.partitionBy("p_type", "p_size").orderBy("caller"))
     few = p.withColumn("r", first).where("r <= 5").groupBy("p_type", "p_size").agg(F.count("*").alias("n"), F.collect_list("caller").alias("targets"))
-    alone = p.join(near.select("caller").distinct(), "caller", "left_anti").join(few.where("n BETWEEN 2 AND 4"), ["p_type", "p_size"])
+    shared = p.groupBy("p_type", "p_size", "p_brand").agg(F.min("caller").alias("x"), F.max("caller").alias("y")).where("x < y").drop("x", "y")
+    alone = p.join(shared, ["p_type", "p_size", "p_brand"], "left_anti").join(few.where("n BETWEEN 2 AND 4"), ["p_type", "p_size"])
     far = alone.select("caller", F.explode("targets").alias("target"), F.when(F.col("n") == 2, 0.8).otherwise(0.5).alias("confidence")).where("caller <> target")
     return near.unionByName(far)
 
@@ -176,9 +183,9 @@ def resolve_targets(spark, d):
 
 @query("resolve_data_flow", f"WITH {PICK} SELECT DISTINCT e.target AS from_id, e.caller AS to_id FROM edge e JOIN part p ON p.p_partkey = e.caller JOIN part q ON q.p_partkey = e.target WHERE e.confidence IS NOT NULL AND p.p_brand = q.p_brand")
 def resolve_data_flow(spark, d):
-    own = table(spark, d, "part").select("p_partkey", "p_brand")
-    x = _targets(spark, d).join(own.toDF("caller", "a"), "caller").join(own.toDF("target", "b"), "target").where("a = b")
-    return x.select(F.col("target").alias("from_id"), F.col("caller").alias("to_id")).distinct()
+    # a target of another file never has the caller's brand, as it would then be one of the same file
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("caller"), "p_type", "p_size", "p_brand").distinct()
+    return _near_targets(p).select(F.col("target").alias("from_id"), F.col("caller").alias("to_id"))
 
 
 @query("resolve_uses", "SELECT DISTINCT s.s_suppkey AS user_id, p.p_partkey AS type_id FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.p_partkey AND c.c_acctbal < 0)")
