@@ -9,8 +9,9 @@ similarity; what may reach the threshold is verified on the full sets.
 
 Copies with equal sets are one node, and so are the sets of one id. A band's bucket first tries its members against the
 least of them. In a bucket that still holds several components, members outside its largest component visit the
-others, which lie in blocks of bounded size: first each visitor proposes its likeliest partners, then
-every plausible pair is tested inside the block and only links leave it. A pair is tested in the first band it shares.
+others, which lie in blocks of bounded size: first each visitor proposes its likeliest partners, all of which are verified. A visitor
+with more plausible partners in a block than it proposed goes there again, where these pairs are tested in place and only
+links leave the block. A pair is tested in the first band it shares.
 A bucket of m near copies, r of them outside the largest component, is m + r * m / BLOCK rows: linear while most
 hang together. No pair of different components that shares a band is left untested.
 """
@@ -35,7 +36,7 @@ WORDS, THRESHOLD = 5, (75, 100)
 BASE, RATE, REGISTERS, ROWS = 1.001, 20.0, 128, 4
 #: A pair stays unless the likelihood at the threshold is this many nats below its maximum (four standard errors).
 NATS = 8.0
-#: Partners a member proposes in the first comparison, the most alike; the second tests all that are plausible in place.
+#: Partners a member proposes in the first comparison, the most alike; the second tests those of members that have more, in place.
 BEST = 4
 #: Members and shingles a comparison block aims at, and members that share a copy of their centre's set.
 BLOCK, BLOCK_SHINGLES, STAR = 512, 250_000, 128
@@ -175,7 +176,7 @@ class _Home:
         self.now: dict[int, int] = {}  # components that joined another one here
 
     def meet(self, row: tuple, best: int | None) -> list[tuple[int, int]]:
-        """Pairs of a visitor and members of other components: the likeliest, or, without best, those that are linked."""
+        """Pairs of a visitor and members of other components: the likeliest, or, without best, those that are linked. A last pair with None tells of more than best."""
         i, comp, n = row[4], self.now.get(row[5], row[5]), row[7]
         regs = np.frombuffer(row[8], "<u2")
         o = np.flatnonzero((self.comps != comp) & (~self.rest | (self.ids < i)))
@@ -188,7 +189,7 @@ class _Home:
         fit = np.flatnonzero(plausible(self.n[o], np.full(len(o), n), above, below))
         o = o[fit[np.argsort((above + below)[fit], kind="stable")]]
         if best is not None:
-            return [(int(i), int(q)) for q in self.ids[o[:best]]]
+            return [(int(i), int(q)) for q in self.ids[o[:best]]] + [(int(i), None)] * (len(o) > best)
         own, out = np.frombuffer(row[9], np.uint64), []
         for q in o:
             if self.comps[q] != comp and linked(own, self.sets[q]):
@@ -215,9 +216,9 @@ def _compare_rows(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterat
             if home is None and members:
                 home, members = _Home(members), []
             if home is not None:
-                out += home.meet(row, best)
+                out += [(*pair, *row[:2]) for pair in home.meet(row, best)]
         if out:
-            yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
+            yield _batch(out, ["a", "b", "key", "block"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
 
 
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,9 +255,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify_rows, "a long, b long")
 
 
-def _proposed(live: DataFrame, sets: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b) of different components within buckets of more than two: see _compare_rows."""
-    columns = ["n", "sketch"] + ["grams"] * (best is None)
+def _members(live: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, band, id, rest, blocks, block) of buckets of more than two that hold several components; rest: outside the largest of them."""
     joined = live.where("m > 2").join(comps, "id", "left").select("key", "band", "id", "n", "m", F.coalesce("component", "id").alias("comp"))
     parts = joined.groupBy("key", "band", "m", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig"))
     buckets = parts.groupBy("key", "band", "m").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("w").alias("w"), F.sum("sig").alias("sig"), F.count("*").alias("parts")).where("parts > 1")
@@ -264,12 +264,18 @@ def _proposed(live: DataFrame, sets: DataFrame, comps: DataFrame, best: int | No
     chosen = buckets.groupBy("sig", "m").agg(F.min(F.struct("band", "key", "most", "w")).alias("x"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("x.w") / BLOCK_SHINGLES)).cast("int")
     chosen = chosen.select("x.key", F.col("x.most.comp").alias("most"), blocks.alias("blocks"))
-    members = joined.join(chosen, "key").select("key", "band", "id", "comp", (F.col("comp") != F.col("most")).alias("rest"), "blocks")
-    home = members.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("role", F.lit(0))
-    visitors = members.where("rest").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("role", F.lit(1))
-    rows = home.unionByName(visitors).drop("blocks").join(sets.select("id", *columns), "id").select("key", "block", "role", "band", "id", "comp", "rest", *columns)
+    rest = (F.col("comp") != F.col("most")).alias("rest")
+    return joined.join(chosen, "key").select("key", "band", "id", rest, "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"))
+
+
+def _proposed(members: DataFrame, visits: DataFrame, sets: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
+    """(a, b, key, block): pairs of different components that visits(key, band, id, rest, block) find in their blocks of members: see _compare_rows."""
+    columns = ["n", "sketch"] + ["grams"] * (best is None)
+    home = members.select("key", "band", "id", "rest", "block")
+    rows = home.withColumn("role", F.lit(0)).unionByName(visits.withColumn("role", F.lit(1))).join(comps, "id", "left")
+    rows = rows.join(sets.select("id", *columns), "id").select("key", "block", "role", "band", "id", F.coalesce("component", "id").alias("comp"), "rest", *columns)
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "role")
-    return rows.mapInArrow(lambda batches: _compare_rows(batches, best), "a long, b long").distinct()
+    return rows.mapInArrow(lambda batches: _compare_rows(batches, best), "a long, b long, key long, block int")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -298,10 +304,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = components(links)
 
     tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    members = materialise(_members(live, first))
+    visits = members.where("rest").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
     for best in (BEST, None):
-        more = _proposed(live, sets, first, best)
+        told = materialise(_proposed(members, visits, sets, first, best))
+        more = told.where("b is not null").select("a", "b").distinct()
         if best is not None:
             more = _verify(more.join(tried, ["a", "b"], "left_anti"), sets)
+            # what is left: visitors with more plausible partners in a block than were verified
+            left = told.where("b is null").select(F.col("a").alias("id"), "key", "block")
+            visits = left.join(members.select("id", "key", "band", "rest"), ["id", "key"])
+            members = members.join(left.select("key", "block").distinct(), ["key", "block"], "left_semi")
         more = materialise(more)
         if more.isEmpty():
             continue

@@ -122,3 +122,22 @@ def test_recall_of_the_law_on_a_larger_table(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_only_members_with_partners_left_visit_again(spark, monkeypatch):
+    from tesselode.llm import minhash_dedup as M
+
+    seen, own = [], M._proposed
+
+    def counted(members, visits, sets, comps, best):
+        seen.append((members.count(), visits.count()))
+        return own(members, visits, sets, comps, best)
+
+    rows = crowd()
+    monkeypatch.setattr(M, "_proposed", counted)
+    for best, again in ((1000, False), (1, True)):
+        monkeypatch.setattr(M, "BEST", best)
+        got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert {g["doc_id"]: tuple(g[1:]) for g in got if g["doc_id"] is not None} == brute(rows)
+        first, second = seen[-2:]
+        assert second[1] < first[1] and (second != (0, 0)) == again
