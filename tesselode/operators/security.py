@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselode.functions.security_rules import RULES, WEAKNESSES
+from tesselode.sources.tables import pieces
 
 # Endings of files that are scanned, and their languages.
 LANGUAGES = {"py": "python", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "rs": "rust", "go": "go", "js": "javascript", "ts": "javascript", "tsx": "javascript", "java": "java"}
@@ -123,7 +124,7 @@ def findings(files: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(rules)
-        for batch in batches:
+        for batch in pieces(batches):
             paths, languages, texts = (c.to_pylist() for c in batch.columns)
             texts, rows = [t or "" for t in texts], []
             for i, r, byte in own.matches(texts, languages):
