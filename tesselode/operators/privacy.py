@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselode.functions.text_rules import redact, secret_kinds
-from tesselode.sources.tables import settle
+from tesselode.sources.tables import pieces, settle
 
 # Mode, what it discloses, the risk that a source is rebuilt from it.
 MODES = [("FULL", "UNRESTRICTED", "HIGH"), ("MINIMAL", "SEMANTIC", "MEDIUM"), ("MASKED", "PSEUDONYMIZED", "MEDIUM"), ("STRUCTURAL", "GENERIC", "LOW"), ("ABSTRACT", "PSEUDONYMIZED", "MEDIUM"), ("LOCAL_ONLY", "NONE", "LOW")]
@@ -135,7 +135,7 @@ def replaced(texts: DataFrame, tokens: DataFrame, column: str = "text", block_by
 
         def task(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
             replacer = None
-            for batch in batches:
+            for batch in pieces(batches):
                 replacer = replacer or _Replacer(names.value)
                 at = batch.schema.get_field_index(extra)
                 new = pa.array([replacer.pieces(p) for p in batch.column(at).to_pylist()], pa.list_(pa.string()))
