@@ -38,15 +38,13 @@ _CONTEXT = (
 
 
 def _context(spark, d):
-    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")
+    words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
     items = table(spark, d, "benchmark")
-    asked = items.select(F.col("item_id").alias("request"), words).distinct().where(F.length("word") > _LONG)
+    asked = items.select(F.col("item_id").alias("request"), F.explode(words).alias("word")).where(F.length("word") > _LONG)
     parts = []
     for section, kind, rows, name in ((1, "memory", _TURNS, "conversations"), (2, "doc", _DOCS, "documents")):
         own = spark.sql(rows.format(**{name: f"{{{name}}}"}), **{name: table(spark, d, name)})
-        n = own.select("id", words).distinct().join(asked, "word").groupBy("request", "id").agg(F.count("*").alias("n"))
-        at = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("n"), "id"))
-        best = n.withColumn("at", at).where("at <= 11").join(own, "id")
+        best = F.broadcast(C.matched(own.select("id", words.alias("words")), asked, 11)).join(own, "id")
         parts.append(best.select("request", F.lit(section).alias("section"), "at", F.lit(kind).alias("kind"), "id", "text", F.lit(kind).alias("source"), F.when(F.col("at") % 4 == 0, 0).otherwise(F.col("n")).alias("score")))
     requests = spark.sql(REQUESTS + " FROM {benchmark}", benchmark=items).withColumn("changed", F.array(*[F.lit(c) for c in CHANGED]))
     nodes = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id")).withColumn("path", F.concat(F.lit("docs/"), "id"))
