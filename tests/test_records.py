@@ -1,5 +1,7 @@
 """Writers, the store and resolvers on small odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,21 @@ def test_records_are_checked(spark):
         assert R.record(op, rows.where("false"))[0].count() == 0
 
 
+def test_state_of_records_is_the_merge_of_their_log(spark):
+    texts = sorted({c for x in R.RECORDS.values() for c in (*x.identity, *x.state, *[c for k in x.links for c in (k.source, k.target, *k.props.values()) if c])} - {"confidence", "role"})
+    pick = random.Random(3)
+    rows = [(pick.choice([None, *range(40)]), pick.choice([None, 0.5, 0.25, 2.0]), pick.choice([*R.ROLES[:2], "king", None]), *[pick.choice([None, "", "x", "1:y"]) if c not in ("project_id", "team_id", "title") else pick.choice("pq") for c in texts]) for _ in range(300)]
+    rows = spark.createDataFrame(rows, "seq long, confidence double, role string, " + ", ".join(f"{c} string" for c in texts)).cache()
+    flat = lambda df: sorted(str([sorted(x.items()) if isinstance(x, dict) else x for x in r]) for r in df.collect())
+    for op in R.RECORDS:
+        log, edges, bad = R.record(op, rows)
+        nodes, links, refused = R.state(op, rows)
+        assert flat(nodes) == flat(S.merged(log).select("kind", "id", "props")) and flat(links) == flat(S.linked(edges)) and flat(refused) == flat(bad)
+        # a node takes one exchange of its identity and values, no rows of single properties
+        plan = nodes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == (1 if R.RECORDS[op].kind else 0) and "Generate" not in plan
+
+
 def test_state_machine(spark):
     asked = ["ANALYZING", "DISCOVERING", "ANALYZING", None, "VALIDATED", "IMPLEMENTING"]
     rows = spark.createDataFrame([(k, i, s) for k in ("x", "y", None) for i, s in enumerate(asked)], "key string, seq long, wanted string")
