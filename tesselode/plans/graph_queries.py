@@ -13,6 +13,8 @@ from tesselode.sources.tables import EDGES_SQL, GRAPH_SQL, edges, nodes, table
 from .catalog import query
 
 HUB = "Nation:7"
+#: Lines whose pairs of customer and supplier a task counts.
+PAIR_ROWS = 1 << 18
 #: Ring edges between nations, and chords, as a graph with cycles that the keys lack.
 RING = "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS from_id, 'n' || CAST((n_nationkey + 1) % 25 AS VARCHAR) AS to_id, 'R' || CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey % 5 <> 4 OR n_nationkey = 9"
 CHORDS = "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS from_id, 'n' || CAST(n_nationkey - 3 AS VARCHAR) AS to_id, 'C' || CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey % 4 = 3 AND n_nationkey < 16"
@@ -149,10 +151,12 @@ def degree_topk(spark, d):
 def bridge_edges(spark, d):
     t = lambda n: table(spark, d, n)
     region = t("nation").select("n_nationkey", "n_regionkey")
-    c = t("customer").join(region.toDF("c_nationkey", "c_region"), "c_nationkey").select("c_custkey", "c_region")
-    s = t("supplier").join(region.toDF("s_nationkey", "s_region"), "s_nationkey").select("s_suppkey", "s_region")
-    x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return x.where("c_region <> s_region").groupBy("c_custkey", "s_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c_custkey", "s_suppkey").limit(50)
+    # nearly every line is a pair of its own, so tasks follow the lines and what a task sorts or counts stays small
+    tasks = max(1, -(-t("lineitem").count() // PAIR_ROWS))
+    placed = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(region.toDF("c_nationkey", "c_region"), "c_nationkey").select("o_orderkey", "c_custkey", "c_region")
+    line = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(region.toDF("s_nationkey", "s_region"), "s_nationkey").select("l_orderkey", "s_suppkey", "s_region")
+    x = line.repartition(tasks, "l_orderkey").join(placed.repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).where("c_region <> s_region").select("c_custkey", "s_suppkey")
+    return x.repartition(tasks, "c_custkey", "s_suppkey").groupBy("c_custkey", "s_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c_custkey", "s_suppkey").limit(50)
 
 
 PICK = "cand AS (SELECT a.p_partkey AS caller, b.p_partkey AS target, a.p_brand = b.p_brand AS same_file FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey), ranked AS (SELECT *, count(*) OVER (PARTITION BY caller) AS n, max(CASE WHEN same_file THEN 1 ELSE 0 END) OVER (PARTITION BY caller) AS any_same FROM cand), edge AS (SELECT caller, target, CASE WHEN any_same = 1 THEN CASE WHEN same_file THEN 0.9 END WHEN n = 1 THEN 0.8 WHEN n <= 3 THEN 0.5 END AS confidence FROM ranked)"

@@ -34,3 +34,12 @@ def test_impact_analysis_has_no_limit(spark, sf, tmp_path):
     near = [r for r in got if r["distance"] == 1]
     assert len(near) == 10_100 and {r["via"] for r in near} == {"SUPPLIED_BY"}
     assert sorted(r["id"] for r in got if r["distance"] == 2) == [f"Order:{i}" for i in range(1_000_000, 1_000_005)]
+
+
+def test_bridge_edges_tasks_follow_the_rows(spark, sf, monkeypatch):
+    want = QUERIES["bridge_edges"](spark, sf).collect()
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr("tesselode.plans.graph_queries.PAIR_ROWS", n // 7 + 1, raising=False)
+    got = QUERIES["bridge_edges"](spark, sf)
+    assert ", 7), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.collect() == want and len(want) == 50
