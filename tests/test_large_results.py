@@ -6,6 +6,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
+from tesselode.sources import tables as T  # noqa: E402
 
 QUERIES = entry.queries()
 
@@ -43,3 +44,13 @@ def test_bridge_edges_tasks_follow_the_rows(spark, sf, monkeypatch):
     got = QUERIES["bridge_edges"](spark, sf)
     assert ", 7), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert got.collect() == want and len(want) == 50
+
+
+def test_export_shuffles_keys_and_writes_small_files(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr("tesselode.plans.extract_queries.scratch", lambda spark, name: f"{tmp_path}/{name}")
+    rows = {(r["record"], r["kind"]): r["n"] for r in QUERIES["export_graph"](spark, sf).collect()}
+    files = list(tmp_path.glob("graph/*/part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert rows["edge", "PLACED"] == rows["node", "Order"] > 0
+    plan = T.edges(spark, sf, ["CONTAINS"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(l_orderkey#" in plan
