@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,26 @@ class State:
 
 @dataclass(frozen=True)
 class Pass:
-    """What one walk did: the new state, each file's and symbol's fate, edges that came and went, symbols that a change touches."""
+    """What one walk did: the new state, each file's and symbol's fate, edges that came and went, symbols that a change touches.
+
+    The symbols' fates are worked out when they are first asked for; the next walk needs none of them.
+    """
 
     state: State
     files: DataFrame
-    symbols: DataFrame
+    fates: Callable[[], DataFrame]
     edges: DataFrame
-    affected: DataFrame
+    before: DataFrame
     truncated: bool
 
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return settle(self.fates())
+
+    @cached_property
+    def affected(self) -> DataFrame:
+        return dependents(self.symbols.where("status <> 'same'").select("id"), self.before.unionByName(self.edges.where("status = 'new'").drop("status")))
+
 
 def _contents(walk: DataFrame) -> DataFrame:
     content = F.coalesce("content", F.lit(""))
@@ -141,12 +153,11 @@ def reindex(state: State, walk: DataFrame, extract: Callable[[DataFrame], DataFr
     was, now = state.symbols.select("id", F.col("path").alias("old_path")), symbols.select("id", F.col("path").alias("new_path"))
     told = was.join(now, "id", "full_outer").join(read.withColumnsRenamed({"path": "new_path"}).withColumn("read", F.lit(True)), "new_path", "left")
     status = F.when(F.col("new_path").isNull(), "gone").when(F.col("old_path").isNull(), "new").when(F.col("read"), "again").otherwise("same")
-    told = settle(told.select("id", F.coalesce("new_path", "old_path").alias("path"), status.alias("status")))
+    told = told.select("id", F.coalesce("new_path", "old_path").alias("path"), status.alias("status"))
     wanted = resolve_calls(symbols.select("id", "name", F.lit("").alias("owner"), "path", "calls"))
     links = settle(synced(state.edges, wanted, symbols, source, "CALLS"))
-    affected = dependents(told.where("status <> 'same'").select("id"), state.edges.unionByName(links.where("status = 'new'").drop("status")))
     files = fate.where("status <> 'vanished'").select("path", "sha256")
-    return Pass(State(files, symbols, links.where("status <> 'gone'").drop("status")), fate, told, links, affected, truncated)
+    return Pass(State(files, symbols, links.where("status <> 'gone'").drop("status")), fate, lambda: told, links, state.edges, truncated)
 
 
 def report(done: Pass) -> DataFrame:

@@ -49,3 +49,12 @@ def test_two_walks_a_listed_path_and_a_cut_walk(spark):
 def test_no_files(spark):
     done = I.reindex(I.State.empty(spark), walk(spark, []), I.definitions)
     assert done.state.symbols.count() == 0 and I.report(done).first()["files_seen"] == 0
+
+
+def test_fates_of_symbols_wait_until_they_are_asked_for(spark, monkeypatch):
+    written, settle = [], I.settle
+    monkeypatch.setattr(I, "settle", lambda df: written.append(df.columns) or settle(df))
+    done = I.reindex(I.State.empty(spark), walk(spark, [("a.py", code(("main", ["main2"]), ("main2", [])))]), I.definitions)
+    assert ["id", "path", "status"] not in written
+    assert {r["status"] for r in done.symbols.collect()} == {"new"} and done.affected.count() == 2
+    assert written.count(["id", "path", "status"]) == 1
