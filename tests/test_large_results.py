@@ -54,3 +54,18 @@ def test_export_shuffles_keys_and_writes_small_files(spark, sf, monkeypatch, tmp
     assert rows["edge", "PLACED"] == rows["node", "Order"] > 0
     plan = T.edges(spark, sf, ["CONTAINS"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(l_orderkey#" in plan
+
+
+def test_get_function_tells_callers_and_callees(spark, sf):
+    from tesselode.plans import record_queries as Q
+
+    columns = "id string, kind string, name string, qualified_name string, owner string, path string, size int, calls array<string>"
+    rows = [("1", "Function", "Run", "Job.Run", "Job", "a.go", 1, ["help"]), ("2", "Function", "help", "help", "", "a.go", 2, ["Job.Run", "nobody"]), ("3", "Function", "main", "main", "", "b.go", 3, ["Job.Run", "help"]), ("4", "Class", "Run", "Run", "", "b.go", 4, [])]
+    own = spark.createDataFrame(rows, columns)
+    told = lambda text: sorted((r["id"], r["path"], r["relation"], r["other_id"], r["other_qualified_name"], r["confidence"], r["n_callers"], r["n_callees"]) for r in Q.function_calls(own, text).collect())
+    run = [("1", "a.go", "callee", "2", "help", 0.9, 2, 1), ("1", "a.go", "caller", "2", "help", 0.9, 2, 1), ("1", "a.go", "caller", "3", "main", 0.8, 2, 1)]
+    # by its qualified name, its name, its name in other letters, and a part of it
+    assert told("Job.Run") == told("Run") == told("rUN") == told("ob.r") == run
+    assert told("none") == []
+    lone = spark.createDataFrame([rows[0][:-1] + ([],)], columns)
+    assert [(r["id"], r["relation"], r["n_callers"]) for r in Q.function_calls(lone, "Run").collect()] == [("1", None, 0)]
