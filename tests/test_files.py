@@ -34,3 +34,14 @@ def test_ragged_table(spark, tmp_path):
 def test_numstat_lines(spark):
     lines = spark.createDataFrame([("3\t1\ta.go",), ("-\t-\tb.png",), ("commit x",), (None,), ("",)], "value string")
     assert sorted(map(tuple, X.numstat(lines).collect())) == [(0, 0, "b.png"), (3, 1, "a.go")]
+
+
+def test_a_file_without_a_tree_is_told(spark, monkeypatch):
+    rows = [("bad.py", "x = 1\ndef (:\n"), ("none.py", "x = 1\n"), ("deep.py", "x = " + "-" * 20_000 + "1\n"), ("nul.py", "a\0b"), ("ok.py", "class A" + "(B" + ".c" * 3000 + "):\n    pass\n")]
+    got = {r["path"]: r for r in X.python_symbols(spark.createDataFrame(rows, "path string, content string"), failures=True).collect()}
+    assert {p: r["kind"] for p, r in got.items()} == {"bad.py": "Unparsed", "deep.py": "Unparsed", "nul.py": "Unparsed", "ok.py": "Class"}
+    assert got["bad.py"]["name"].startswith("SyntaxError: ") and got["bad.py"]["line_start"] == 2 and got["bad.py"]["calls"] is None
+    monkeypatch.setattr("tesselode.plans.extract_queries._sources", lambda *_: spark.createDataFrame(rows, "path string, content string"))
+    from tesselode.plans import extract_queries as Q
+
+    assert sorted(r["path"] for r in Q.python_symbols(spark, "").collect() if r["kind"] == "Unparsed") == ["bad.py", "deep.py", "nul.py"]
