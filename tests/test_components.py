@@ -98,3 +98,20 @@ def test_tasks_follow_the_pairs(spark, monkeypatch):
     assert sorted((x["k"], x["a"], x["b"]) for x in got.collect()) == want
     assert got.rdd.getNumPartitions() == len(want) // 40
     assert V.paired(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_pairs_of_a_file_are_not_shuffled(spark):
+    """A name that all of a file hold: its pairs are told as they meet, and no aggregate stands over them."""
+    n = 300
+    rows = [(str(i), "init", "A" if i % 2 else "", "f.go", ["init", "A.init", "B.init"]) for i in range(n)]
+    columns = "id string, name string, owner string, path string, calls array<string>"
+    top = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split()[0]
+    got = V.resolve_calls(spark.createDataFrame(rows, columns))
+    told = [(x["from_id"], x["to_id"]) for x in got.collect()]
+    assert top(got) == "Union" and len(told) == len(set(told)) == n * (n - 1) and {x["confidence"] for x in got.collect()} == {0.9}
+    # an id that stands twice is still told once
+    assert V.resolve_calls(spark.createDataFrame([*rows, ("1", "init", "B", "f.go", ["init"])], columns)).count() == n * (n - 1)
+    types = spark.createDataFrame([(str(i), "T" if i % 2 else "S", "f.go") for i in range(n)], "id string, name string, path string")
+    told = spark.createDataFrame([("f.go", "S", "extends", "T"), ("g.go", "S", "extends", "T")], "path string, sub string, rel string, super string")
+    got = V.resolve_inheritance(types, told)
+    assert top(got) == "Union" and got.count() == got.distinct().count() == n * n // 4
