@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesselode.operators import graph as G
 from tesselode.operators import minisql
 from tesselode.operators import resolve as V
-from tesselode.sources.tables import EDGES_SQL, GRAPH_SQL, edges, nodes, table
+from tesselode.sources.tables import EDGES_SQL, GRAPH_SQL, edges, key_edges, key_number, key_text, nodes, table
 
 from .catalog import query
 
@@ -121,6 +121,14 @@ def looped(spark, d):
     return edges(spark, d).select("from_id", "to_id").unionByName(back)
 
 
+def looped_numbers(spark, d):
+    """looped with numbers instead of texts, and edges that may stand more than once."""
+    orders = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(key_number("Order", "o_orderkey").alias("from_id"), key_number("Customer", "o_custkey").alias("to_id"))
+    nation = F.col("n_nationkey")
+    ring = table(spark, d, "nation").withColumn("next", (nation + 1) % 25).select(key_number("Nation", "n_nationkey").alias("from_id"), key_number("Nation", "next").alias("to_id"))
+    return key_edges(spark, d).unionByName(orders.unionByName(ring).where("from_id IS NOT NULL AND to_id IS NOT NULL"))
+
+
 @query("graph_components", LOOPED + " SELECT id, component, n AS size FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM own) WHERE n > 1")
 def graph_components(spark, d):
     return G.strong_components(looped(spark, d))
@@ -128,13 +136,14 @@ def graph_components(spark, d):
 
 @query("graph_condensed", f"{LOOPED}, {DAG_OF_COMPONENTS} SELECT f AS from_id, t AS to_id FROM dag")
 def graph_condensed(spark, d):
-    g = looped(spark, d)
-    return G.condensed(g, G.components(g))
+    _, between = G.contracted(looped_numbers(spark, d), rank=key_text)
+    return between.distinct().select(*[key_text(F.col(c)).alias(c) for c in ("from_id", "to_id")])
 
 
 @query("graph_layers", f"{LOOPED}, {LEVELS} SELECT own.id, own.component, l6.level FROM own JOIN l6 ON l6.component = own.component")
 def graph_layers(spark, d):
-    return G.layers(looped(spark, d))
+    found = G.layers_of_numbers(looped_numbers(spark, d), rank=key_text)
+    return found.select(*[key_text(F.col(c)).alias(c) for c in ("id", "component")], "level")
 
 
 @query("community_lpa")

@@ -115,3 +115,35 @@ def test_pairs_of_a_file_are_not_shuffled(spark):
     told = spark.createDataFrame([("f.go", "S", "extends", "T"), ("g.go", "S", "extends", "T")], "path string, sub string, rel string, super string")
     got = V.resolve_inheritance(types, told)
     assert top(got) == "Union" and got.count() == got.distinct().count() == n * n // 4
+
+
+def layered(n):
+    """A graph like the key graph: hubs that spokes point back at, spokes to leaves, leaves to a few ends."""
+    out = [(f"hub{i % n}", f"spoke{i}") for i in range(8 * n)] + [(f"spoke{i}", f"hub{i % n}") for i in range(0, 8 * n, 3)]
+    return out + [(f"spoke{i}", f"leaf{j % (2 * n)}") for i in range(8 * n) for j in (i * 7, i * 5 + 1)] + [(f"leaf{i}", f"end{i % 3}") for i in range(2 * n)]
+
+
+def test_stars_and_layers_need_no_colours(spark, monkeypatch):
+    def stop(*_):
+        raise AssertionError("a colour was spread")
+
+    monkeypatch.setattr(G, "_spread", stop)
+    pairs = layered(6)
+    of, level = plain(pairs)
+    edges = spark.createDataFrame(pairs, EDGE)
+    assert {x["id"]: x["component"] for x in G.components(edges, 0).collect()} == of
+    assert {x["id"]: (x["component"], x["level"]) for x in G.layers(edges, 0).collect()} == {x: (of[x], level[x]) for x in of}
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_the_lowest_by_rank_stands_for_a_component(spark, small):
+    """Numbers whose texts stand in another order, with stars, rings and a ring through a star."""
+    pairs = [(2, 10), (10, 2), (10, 33), (33, 10), (5, 40), (40, 6), (6, 5), (100, 7), (7, 100), (7, 8), (8, 9), (9, 100), (2, 5), (5, 7), (3, 3)]
+    of, level = plain([(str(a), str(b)) for a, b in pairs])
+    edges = spark.createDataFrame(pairs, "from_id long, to_id long")
+    rank = lambda n: n.cast("string")
+    got = G.layers_of_numbers(edges, small, rank).collect()
+    assert {str(x["id"]): (str(x["component"]), x["level"]) for x in got} == {x: (of[x], level[x]) for x in of}
+    other, between = G.contracted(edges, small, rank)
+    assert {str(x["id"]): str(x["component"]) for x in other.collect()} == {x: c for x, c in of.items() if x != c}
+    assert {(str(x["from_id"]), str(x["to_id"])) for x in between.collect()} == {(of[str(a)], of[str(b)]) for a, b in pairs if of[str(a)] != of[str(b)]}
